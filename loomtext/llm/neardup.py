@@ -1,2 +1,365 @@
-def document_classes(docs):
-    raise NotImplementedError
+"""Near-duplicate classes by Order MinHash, verified by banded alignment.
+
+A text is its words in lower case without marks at their ends; its k-mers are shingles of K words,
+labelled with their occurrence number so that repeats differ. For each of SKETCHES hash functions the
+TAKEN smallest labelled shingles are kept in the order in which they stand in the text, and that
+ordered tuple is a bucket key: texts that share many shingles in the same order, that is texts of high
+edit similarity, share buckets. Further minima, a byte each, estimate similarity inside a bucket.
+
+Candidates are verified exactly: the longest common subsequence of the two shingle sequences, by
+bit-parallel dynamic programming inside the band that a similarity of LEAST leaves, over the number of
+shingles in either. Classes are the connected components of the verified links.
+
+Equal texts are one node. A bucket is streamed in blocks of at most MOST texts, sorted by their minima;
+a block proposes its most central text with all its candidates, each text with its nearest ones, and
+the bucket's first centre with the block's. Later rounds propose, at last without any limit, the
+candidates that stand in different classes, so that a class isn't split because its first links failed.
+
+Defined results: null, empty and wordless texts are alike; texts of under K words are one shingle; a
+null doc_id comes last; rows with equal doc_ids are documents of their own; an empty table, no rows.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loomtext.llm.common import materialize, sliced, texts_of
+
+K, LEAST = 5, 0.8
+SKETCHES, TAKEN, EXTRA = 16, 3, 24
+#: Estimated similarity of a candidate; three deviations of SKETCHES + EXTRA samples below LEAST.
+LIKELY, MOST, NEAREST = 0.6, 512, 3
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LAST = 2**63 - 1
+REMEMBERED = 400_000
+
+U = np.uint64
+POSITION = U((1 << 24) - 1)
+_rng = np.random.default_rng(2019)
+XORS = _rng.integers(0, 1 << 63, SKETCHES + EXTRA, dtype=np.uint64)
+FACTORS = _rng.integers(0, 1 << 63, SKETCHES + EXTRA, dtype=np.uint64) * U(2) + U(1)
+STEPS = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * U(2) + U(1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(31))) * U(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(32))
+
+
+class Words:
+    """Hashes of a text's words; a worker remembers the words it has met."""
+
+    def __init__(self) -> None:
+        self.memo: dict[str, int] = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        chunks = text.split()
+        memo = self.memo
+        new = {x for x in chunks if x not in memo}
+        if len(memo) + len(new) > REMEMBERED:
+            memo.clear()
+            new = set(chunks)
+        for x in new:
+            word = x.lower().strip(MARKS)
+            memo[x] = xxhash.xxh64_intdigest(word.encode()) | 1 if word else 0
+        out = np.fromiter(map(memo.__getitem__, chunks), np.uint64, len(chunks))
+        out = out[out != 0]
+        return out if len(out) >= K else np.concatenate([out, np.full(K - len(out), 2, np.uint64)])
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of the K-word shingles of a sequence of at least K words."""
+    n = len(words) - K + 1
+    return mixed(sum((words[i : i + n] * STEPS[i] for i in range(1, K)), words[:n] * STEPS[0]))
+
+
+def sketch(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket keys (texts x SKETCHES), minima (texts x samples, bytes) and numbers of shingles."""
+    sizes = np.asarray([len(x) - K + 1 for x in texts], np.int64)
+    flat = np.concatenate([shingles(x) for x in texts])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    position = (np.arange(len(flat)) - starts[owner]).astype(np.uint64)
+    # Occurrence numbers: equal shingles of one text, in text order.
+    own = mixed(flat ^ mixed(owner.astype(np.uint64) + U(1)))
+    order = np.argsort(own, kind="stable")
+    new = np.concatenate([[True], own[order][1:] != own[order][:-1]])
+    at = np.arange(len(flat))
+    occurrence = np.empty(len(flat), np.uint64)
+    occurrence[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    labelled = mixed(flat + occurrence * U(0xD6E8FEB86659FD93))
+    position = np.minimum(position, POSITION)
+    keys = np.empty((len(texts), SKETCHES), np.uint64)
+    minima = np.empty((len(texts), SKETCHES + EXTRA), np.uint8)
+    none = U(0xFFFFFFFFFFFFFFFF)
+    for i in range(SKETCHES + EXTRA):
+        y = (labelled ^ XORS[i]) * FACTORS[i]
+        y ^= y >> U(32)
+        if i >= SKETCHES:
+            minima[:, i] = (np.minimum.reduceat(y, starts) >> U(24)).astype(np.uint8)
+            continue
+        y = (y * U(0x9E3779B97F4A7C15) & ~POSITION) | position
+        taken = []
+        for k in range(TAKEN):
+            low = np.minimum.reduceat(y, starts)
+            taken.append(low)
+            if k + 1 < TAKEN:
+                there = low != none
+                y[(starts + (low & POSITION).astype(np.int64))[there]] = none
+        best = np.stack(taken, axis=1)
+        minima[:, i] = (best[:, 0] >> U(24)).astype(np.uint8)
+        place = np.argsort(np.where(best == none, none, best & POSITION), axis=1, kind="stable")
+        ordered = np.take_along_axis(best & ~POSITION, place, axis=1)
+        key = np.full(len(texts), U(i + 1))
+        for k in range(TAKEN):
+            key = mixed(key * U(0x9E3779B97F4A7C15) + ordered[:, k])
+        keys[:, i] = key
+    return keys, minima, sizes
+
+
+def common(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence of a and b by paths within `band` of the diagonal."""
+    low = 0
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    low = n if same.all() else int(same.argmin())
+    a, b = a[low:], b[low:]
+    n = min(len(a), len(b))
+    if not n:
+        return low
+    same = a[::-1][:n] == b[::-1][:n]
+    high = n if same.all() else int(same.argmin())
+    if high:
+        a, b = a[: len(a) - high], b[: len(b) - high]
+    if not len(a) or not len(b):
+        return low + high
+    where: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        where[x] = where.get(x, 0) | 1 << i
+    size = len(a)
+    state = (1 << size) - 1
+    for j, x in enumerate(b.tolist()):
+        matches = where.get(x)
+        if not matches:
+            continue
+        left, right = max(0, j - band), min(size, j + band + 1)
+        if left >= right:
+            continue
+        mask = (1 << (right - left)) - 1
+        part = state >> left & mask
+        hit = part & (matches >> left & mask)
+        if hit:
+            part = ((part + hit) | (part - hit)) & mask
+            state = state & ~(mask << left) | part << left
+    return low + high + size - state.bit_count()
+
+
+def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
+    """Ordered similarity of two shingle sequences: common ones over those of either; 0 where it must be below `least`."""
+    need = least / (1 + least) * (len(a) + len(b))
+    if min(len(a), len(b)) < need or min(np.isin(a, b).sum(), np.isin(b, a).sum()) < need:
+        return 0.0
+    band = max(len(a), len(b)) - int(need) + 1  # a path that leaves it skips too many
+    found = common(a, b, band)
+    return found / (len(a) + len(b) - found)
+
+
+def node_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc, node, n, buckets, minima of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in sliced(batches, 512):
+            if not batch.num_rows:
+                continue
+            texts = texts_of(batch, 1)
+            keys, minima, sizes = sketch([words(x) for x in texts])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * SKETCHES, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+            nodes = [hashlib.md5(x.encode()).digest() for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes), lists, pa.array([x.tobytes() for x in minima], pa.binary())], ["doc", "node", "n", "buckets", "minima"])
+
+    chosen = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), "text")
+    return chosen.mapInArrow(run, "doc bigint, node binary, n bigint, buckets array<bigint>, minima binary")
+
+
+def propose(n: np.ndarray, minima: np.ndarray, label: np.ndarray | None, nearest: int) -> tuple[int, set[tuple[int, int]]]:
+    """The block's centre, and its pairs of positions that are to be verified."""
+    m = len(n)
+    near = (minima[:, None, :] == minima[None, :, :]).mean(axis=2, dtype=np.float32) if m <= 64 else np.stack([(minima == row).mean(axis=1, dtype=np.float32) for row in minima])
+    fits = np.minimum.outer(n, n) >= LEAST * np.maximum.outer(n, n)
+    np.fill_diagonal(fits, False)
+    good = np.where((near >= LIKELY) & fits, near, 0)
+    centre = int(good.sum(axis=1).argmax())
+    if label is not None:
+        good = np.where(label[:, None] != label[None, :], good, 0)
+    pairs = set()
+    if label is None:
+        pairs.update((centre, int(x)) for x in np.flatnonzero(good[centre]))
+    if nearest < m - 1:
+        some = np.argpartition(-good, nearest, axis=1)[:, :nearest]
+        rows = np.repeat(np.arange(m), nearest)
+        some = some.ravel()
+        keep = good[rows, some] > 0
+        pairs.update(zip(rows[keep].tolist(), some[keep].tolist(), strict=True))
+    else:
+        pairs.update(zip(*(x.tolist() for x in np.nonzero(good)), strict=True))
+    return centre, {(min(x), max(x)) for x in pairs}
+
+
+def candidates(groups: DataFrame, nearest: int, labelled: bool) -> DataFrame:
+    """Distinct pairs (a < b) that the blocks of the buckets propose. groups: bucket, node, n, minima and, if labelled, label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        first: tuple | None = None
+        out: set[tuple[bytes, bytes]] = set()
+
+        def block() -> None:
+            nonlocal first
+            rows = held if first is None else [first, *held]
+            if len(rows) < 2:
+                return
+            n, minima = np.asarray([x[1] for x in rows]), np.stack([np.frombuffer(x[2], np.uint8) for x in rows])
+            label = np.unique([x[3] for x in rows], return_inverse=True)[1] if labelled else None
+            if label is not None and label.max() == 0:
+                return
+            centre, pairs = propose(n, minima, label, nearest)
+            out.update((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for i, j in pairs if rows[i][0] != rows[j][0])
+            first = first or rows[centre]
+
+        def batch_of() -> pa.RecordBatch:
+            pairs = list(out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.binary()), pa.array([x[1] for x in pairs], pa.binary())], ["a", "b"])
+
+        last = None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for bucket, *row in zip(*columns, strict=True):
+                if bucket != last or len(held) == MOST:
+                    block()
+                    held = []
+                    if bucket != last:
+                        first = None
+                last = bucket
+                held.append(tuple(row))
+            if len(out) > 50_000:
+                yield batch_of()
+        block()
+        yield batch_of()
+
+    spark = groups.sparkSession
+    columns = ["bucket", "node", "n", "minima", *(["label"] if labelled else [])]
+    dealt = groups.select(*columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "minima")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs whose similarity is LEAST or more. words: node and its word hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1024):
+            kept, last, left = [], None, None
+            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if x is not last:
+                    last, left = x, shingles(np.frombuffer(x, np.uint64))
+                if similarity(left, shingles(np.frombuffer(y, np.uint64))) >= LEAST:
+                    kept.append(k)
+            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+
+    right = words.select(F.col("node").alias("b"), F.col("words").alias("right"))
+    left = words.select(F.col("node").alias("a"), F.col("words").alias("left"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, label of each node that has an edge: label is the smallest node of its component.
+
+    Large-star and small-star steps in turn until no edge changes; each step is an aggregation with
+    partial sums and a join, and its result is written to the shared folder.
+    """
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
+    before = state(now)
+    while before[0]:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        small = large.join(low, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        now = materialize(small.distinct(), "star")
+        if (after := state(now)) == before:
+            break
+        before = after
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, node) of each document, and (node, label) of the texts that have verified links."""
+    found = materialize(sketches(docs), "omh-sketches")
+    nodes = materialize(found.groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("minima").alias("minima")), "omh-nodes")
+    buckets = nodes.select("node", F.explode("buckets").alias("bucket"))
+    shared = buckets.withColumn("texts", F.count("*").over(Window.partitionBy("bucket"))).where("texts > 1").select("bucket", "node")
+    groups = materialize(shared.join(nodes.select("node", "n", "minima"), "node"), "omh-groups")
+
+    tried = materialize(candidates(groups, NEAREST, labelled=False), "omh-pairs")
+    wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(wanted.join(nodes.select("node", "doc"), "node"), "omh-wanted")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in sliced(batches, 1024):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words(x).tobytes() for x in texts_of(batch, 1)], pa.binary())], ["node", "words"])
+
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), node_of(F.col("text")).alias("node"), "text")
+    texts = texts.join(wanted, ["node", "doc"], "left_semi").select("node", "text").mapInArrow(hashed, "node binary, words binary")
+    words = materialize(texts.groupBy("node").agg(F.first("words").alias("words")), "omh-words")
+    links = materialize(verified(tried, words), "omh-links")
+    labels = materialize(components(links), "omh-labels")
+    groups = materialize(groups.join(wanted.select("node"), "node", "left_semi"), "omh-groups")
+    for nearest in (8, 64, 1 << 30):
+        labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pairs = materialize(candidates(labelled, nearest, labelled=True).join(tried, ["a", "b"], "left_anti"), "omh-pairs")
+        new = materialize(verified(pairs, words), "omh-links")
+        tried = tried.unionByName(pairs)
+        if new.isEmpty():
+            continue
+        links = links.unionByName(new)
+        labels = materialize(components(links), "omh-labels")
+    return found.select("doc", "node"), labels
+
+
+def document_classes(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, class_id (smallest doc_id of its class), n_copies (documents of its text), kept (whether it is the one that stays)."""
+    own, labels = classes(docs)
+    texts = own.groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("n_copies")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = texts.groupBy("label").agg(F.min("first").alias("class_id"))
+    out = own.join(texts.join(heads, "label").select("node", "class_id", "n_copies"), "node")
+    null = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return out.select(null("doc").alias("doc_id"), null("class_id").alias("class_id"), "n_copies", (F.col("doc") == F.col("class_id")).alias("kept"))
+
+
+def drop_near(docs: DataFrame) -> DataFrame:
+    """docs with one document of each class: that of the smallest doc_id (and, among its rows, one)."""
+    names = docs.columns
+    own, labels = classes(docs)
+    texts = own.groupBy("node").agg(F.min("doc").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = texts.groupBy("label").agg(F.min(F.struct("first", "node")).alias("head")).select(F.col("head.first").alias("__doc"), F.col("head.node").alias("__node"))
+    keyed = docs.select(F.struct(*names).alias("__row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("__doc"), node_of(F.col("text")).alias("__node"))
+    return keyed.join(heads, ["__doc", "__node"]).groupBy("__doc", "__node").agg(F.first("__row").alias("__row")).select("__row.*")
