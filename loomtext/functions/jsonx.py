@@ -36,8 +36,9 @@ def canonical(text: Column) -> Column:
 
 def repair(text: Column, retries: int = 3) -> Column:
     """The canonical form of the text or of its first repair that parses; null if none does."""
-    tried, now = [canonical(text)], text
-    for attempt in range(retries - 1):
+    now = rx.strip(text)
+    tried = [canonical(now)]
+    for attempt in range(retries):
         now = repair_step(now, attempt)
         tried.append(canonical(now))
     return F.coalesce(*tried)

@@ -43,12 +43,15 @@ def normalize_prompt(text: Column) -> Column:
     return rx.replace(out, rf"\n(#{{1,6}}){rx.WS}+", "\n$1 ")
 
 
-@F.pandas_udf("string")
-def blake2b(text: pd.Series) -> pd.Series:
-    """Hex digest of blake2b with 64 bytes; Spark has no built-in for it."""
+def _blake2b(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else hashlib.blake2b(x.encode()).hexdigest())
 
 
+def blake2b(text: Column) -> Column:
+    """Hex digest of blake2b with 64 bytes, in Arrow batches; Spark has no built-in for it."""
+    return F.pandas_udf(_blake2b, "string")(text)
+
+
 def hash_chunk(text: Column, algorithm: str = "sha256") -> Column:
     """Digest of the text as it is; an unknown algorithm means sha256."""
     known: dict[str, Callable[[Column], Column]] = {"md5": F.md5, "sha1": F.sha1}
