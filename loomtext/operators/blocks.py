@@ -105,7 +105,7 @@ def parser(strict: bool = False):  # noqa: ANN201
     def apply(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: None if x is None else list(scan(x, strict)))
 
-    return apply
+    return apply.asNondeterministic()  # so that the planner keeps one call where several expressions use the blocks
 
 
 def fidelity_filter(blocks: Column, level: str) -> Column:

@@ -96,7 +96,7 @@ def sentences_around_code(least: int = 3):  # noqa: ANN201
     def apply(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: None if x is None else run(x))
 
-    return apply
+    return apply.asNondeterministic()  # so that the planner keeps one call where several expressions use the segments
 
 
 def paragraph_type(text: Column) -> Column:

@@ -91,7 +91,7 @@ def dedup_batch(spark: SparkSession, path: str, keys: list[str], time: str = "ts
 
 def segments_of_files(spark: SparkSession, path: str, granularity: str = "sentence") -> DataFrame:
     """A stream of segments of text files that arrive in a folder, exact per file; with normalised hashes."""
-    files = spark.readStream.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    files = spark.readStream.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
     return dedup.hashed(segment.segment(files, granularity))
 
 
