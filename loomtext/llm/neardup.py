@@ -10,10 +10,13 @@ Candidates are verified exactly: the longest common subsequence of the two shing
 bit-parallel dynamic programming inside the band that a similarity of LEAST leaves, over the number of
 shingles in either. Classes are the connected components of the verified links.
 
-Equal texts are one node. A bucket is streamed in blocks of at most MOST texts, sorted by their minima;
-a block proposes its most central text with all its candidates, each text with its nearest ones, and
-the bucket's first centre with the block's. Later rounds propose, at last without any limit, the
-candidates that stand in different classes, so that a class isn't split because its first links failed.
+Equal texts are one node. A bucket is streamed in blocks of at most MOST texts, sorted by their minima.
+First a block proposes few pairs: its most central text with all its candidates, each text with its
+nearest ones, and the bucket's first centre with the block's; these are verified by joins and give
+classes. Then the buckets that hold several classes are streamed again together with the texts' word
+hashes, and every candidate pair whose texts are still in different classes is verified in its block,
+with no limit on their number; only links come out. So a large group of copies costs few pairs, and a
+class isn't split because its first links failed.
 
 Defined results: null, empty and wordless texts are alike; texts of under K words are one shingle; a
 null doc_id comes last; rows with equal doc_ids are documents of their own; an empty table, no rows.
@@ -34,9 +37,9 @@ from pyspark.sql.window import Window
 from loomtext.llm.common import materialize, sliced, texts_of
 
 K, LEAST = 5, 0.8
-SKETCHES, TAKEN, EXTRA = 16, 3, 24
+SKETCHES, TAKEN, EXTRA = 16, 3, 64
 #: Estimated similarity of a candidate; three deviations of SKETCHES + EXTRA samples below LEAST.
-LIKELY, MOST, NEAREST = 0.6, 512, 3
+LIKELY, MOST, NEAREST = 0.665, 1024, 3
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LAST = 2**63 - 1
 REMEMBERED = 400_000
@@ -82,6 +85,31 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return mixed(sum((words[i : i + n] * STEPS[i] for i in range(1, K)), words[:n] * STEPS[0]))
 
 
+def labelled(flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes of shingles with their occurrence numbers, so that those of one text differ. owner: the text of each shingle."""
+    own = mixed(flat ^ mixed(owner.astype(np.uint64) + U(1)))
+    order = np.argsort(own, kind="stable")
+    new = np.concatenate([[True], own[order][1:] != own[order][:-1]])
+    at = np.arange(len(flat))
+    occurrence = np.empty(len(flat), np.uint64)
+    occurrence[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    return mixed(flat + occurrence * U(0xD6E8FEB86659FD93))
+
+
+def overlaps(sequences: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each sequence, how many shingles it shares with each one: no common subsequence is longer."""
+    sizes = np.asarray([len(x) for x in sequences])
+    owner = np.repeat(np.arange(len(sequences)), sizes)
+    _, codes, counts = np.unique(labelled(np.concatenate(sequences), owner), return_inverse=True, return_counts=True)
+    holders = owner[np.argsort(codes, kind="stable")]
+    starts = np.cumsum(counts) - counts
+    ends = np.cumsum(sizes)
+    for low, high in zip(ends - sizes, ends, strict=True):
+        own = codes[low:high]
+        n = counts[own]
+        yield np.bincount(holders[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sequences))
+
+
 def sketch(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket keys (texts x SKETCHES), minima (texts x samples, bytes) and numbers of shingles."""
     sizes = np.asarray([len(x) - K + 1 for x in texts], np.int64)
@@ -89,20 +117,13 @@ def sketch(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     owner = np.repeat(np.arange(len(texts)), sizes)
     position = (np.arange(len(flat)) - starts[owner]).astype(np.uint64)
-    # Occurrence numbers: equal shingles of one text, in text order.
-    own = mixed(flat ^ mixed(owner.astype(np.uint64) + U(1)))
-    order = np.argsort(own, kind="stable")
-    new = np.concatenate([[True], own[order][1:] != own[order][:-1]])
-    at = np.arange(len(flat))
-    occurrence = np.empty(len(flat), np.uint64)
-    occurrence[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    labelled = mixed(flat + occurrence * U(0xD6E8FEB86659FD93))
+    labels = labelled(flat, owner)
     position = np.minimum(position, POSITION)
     keys = np.empty((len(texts), SKETCHES), np.uint64)
     minima = np.empty((len(texts), SKETCHES + EXTRA), np.uint8)
     none = U(0xFFFFFFFFFFFFFFFF)
     for i in range(SKETCHES + EXTRA):
-        y = (labelled ^ XORS[i]) * FACTORS[i]
+        y = (labels ^ XORS[i]) * FACTORS[i]
         y ^= y >> U(32)
         if i >= SKETCHES:
             minima[:, i] = (np.minimum.reduceat(y, starts) >> U(24)).astype(np.uint8)
@@ -195,76 +216,121 @@ def sketches(docs: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "doc bigint, node binary, n bigint, buckets array<bigint>, minima binary")
 
 
-def propose(n: np.ndarray, minima: np.ndarray, label: np.ndarray | None, nearest: int) -> tuple[int, set[tuple[int, int]]]:
-    """The block's centre, and its pairs of positions that are to be verified."""
-    m = len(n)
-    near = (minima[:, None, :] == minima[None, :, :]).mean(axis=2, dtype=np.float32) if m <= 64 else np.stack([(minima == row).mean(axis=1, dtype=np.float32) for row in minima])
+def alike(n: np.ndarray, minima: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each two texts of a block where they are candidates, else 0."""
+    near = np.stack([(minima == row).mean(axis=1, dtype=np.float32) for row in minima])
     fits = np.minimum.outer(n, n) >= LEAST * np.maximum.outer(n, n)
     np.fill_diagonal(fits, False)
-    good = np.where((near >= LIKELY) & fits, near, 0)
+    return np.where((near >= LIKELY) & fits, near, 0)
+
+
+def propose(good: np.ndarray) -> tuple[int, set[tuple[int, int]]]:
+    """The block's centre, and few pairs of positions that hold its candidates together."""
+    m = len(good)
     centre = int(good.sum(axis=1).argmax())
-    if label is not None:
-        good = np.where(label[:, None] != label[None, :], good, 0)
-    pairs = set()
-    if label is None:
-        pairs.update((centre, int(x)) for x in np.flatnonzero(good[centre]))
-    if nearest < m - 1:
-        some = np.argpartition(-good, nearest, axis=1)[:, :nearest]
-        rows = np.repeat(np.arange(m), nearest)
-        some = some.ravel()
-        keep = good[rows, some] > 0
-        pairs.update(zip(rows[keep].tolist(), some[keep].tolist(), strict=True))
-    else:
-        pairs.update(zip(*(x.tolist() for x in np.nonzero(good)), strict=True))
+    pairs = {(centre, int(x)) for x in np.flatnonzero(good[centre])}
+    nearest = min(NEAREST, m - 1)
+    some = np.argpartition(-good, nearest - 1, axis=1)[:, :nearest].ravel()
+    rows = np.repeat(np.arange(m), nearest)
+    keep = good[rows, some] > 0
+    pairs.update(zip(rows[keep].tolist(), some[keep].tolist(), strict=True))
     return centre, {(min(x), max(x)) for x in pairs}
 
 
-def candidates(groups: DataFrame, nearest: int, labelled: bool) -> DataFrame:
-    """Distinct pairs (a < b) that the blocks of the buckets propose. groups: bucket, node, n, minima and, if labelled, label."""
+def _ordered(groups: DataFrame, columns: list[str]) -> DataFrame:
+    spark = groups.sparkSession
+    return groups.select(*columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "minima")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[tuple]]]:
+    """Blocks of at most MOST rows of one bucket, without the bucket; True with a bucket's first block."""
+    held: list[tuple] = []
+    last, begins = None, True
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for bucket, *row in zip(*columns, strict=True):
+            if held and (bucket != last or len(held) == MOST):
+                yield begins, held
+                held, begins = [], bucket != last
+            last = bucket
+            held.append(tuple(row))
+    if held:
+        yield begins, held
+
+
+def _arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray([x[1] for x in rows]), np.stack([np.frombuffer(x[2], np.uint8) for x in rows])
+
+
+def _pairs(pairs: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def candidates(groups: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) that the blocks of the buckets propose. groups: bucket, node, n, minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        first: tuple | None = None
         out: set[tuple[bytes, bytes]] = set()
-
-        def block() -> None:
-            nonlocal first
-            rows = held if first is None else [first, *held]
-            if len(rows) < 2:
-                return
-            n, minima = np.asarray([x[1] for x in rows]), np.stack([np.frombuffer(x[2], np.uint8) for x in rows])
-            label = np.unique([x[3] for x in rows], return_inverse=True)[1] if labelled else None
-            if label is not None and label.max() == 0:
-                return
-            centre, pairs = propose(n, minima, label, nearest)
-            out.update((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for i, j in pairs if rows[i][0] != rows[j][0])
-            first = first or rows[centre]
-
-        def batch_of() -> pa.RecordBatch:
-            pairs = list(out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.binary()), pa.array([x[1] for x in pairs], pa.binary())], ["a", "b"])
-
-        last = None
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for bucket, *row in zip(*columns, strict=True):
-                if bucket != last or len(held) == MOST:
-                    block()
-                    held = []
-                    if bucket != last:
-                        first = None
-                last = bucket
-                held.append(tuple(row))
+        first: tuple | None = None
+        for begins, rows in _blocks(batches):
+            rows = rows if begins or first is None else [first, *rows]
+            first = None if begins else first
+            if len(rows) > 1:
+                centre, pairs = propose(alike(*_arrays(rows)))
+                out.update((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for i, j in pairs)
+                first = first or rows[centre]
             if len(out) > 50_000:
-                yield batch_of()
-        block()
-        yield batch_of()
+                yield _pairs(out)
+                out.clear()
+        yield _pairs(out)
 
-    spark = groups.sparkSession
-    columns = ["bucket", "node", "n", "minima", *(["label"] if labelled else [])]
-    dealt = groups.select(*columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "minima")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return _ordered(groups, ["bucket", "node", "n", "minima"]).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def links_between(groups: DataFrame) -> DataFrame:
+    """Verified pairs (a < b) of candidates that have different labels. groups: bucket, node, n, minima, label, words.
+
+    The shingles that two texts share bound their similarity; pairs within that bound are tried from the most
+    alike down, but for those that earlier links of the block have joined.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tried: dict[tuple[bytes, bytes], bool] = {}
+        for _, rows in _blocks(batches):
+            label = np.unique([x[3] for x in rows], return_inverse=True)[1]
+            if label.max() == 0:
+                continue
+            good = np.triu(alike(*_arrays(rows)), 1)
+            apart = (good > 0) & (label[:, None] != label[None, :])
+            some = np.flatnonzero(apart.any(axis=0) | apart.any(axis=1))
+            if not len(some):
+                continue
+            sequences = [shingles(np.frombuffer(rows[z][4], np.uint32).astype(np.uint64)) for z in some.tolist()]
+            shared = np.stack(list(overlaps(sequences)))
+            n = np.asarray([len(x) for x in sequences])
+            bound = shared / (n[:, None] + n[None, :] - shared)
+            own, good = label[some], good[np.ix_(some, some)]
+            i, j = np.nonzero((good > 0) & (bound >= LEAST) & (own[:, None] != own[None, :]))
+            out = set()
+            for k in np.argsort(-bound[i, j], kind="stable").tolist():
+                x, y = int(i[k]), int(j[k])
+                if own[x] == own[y]:
+                    continue
+                a, b = rows[some[x]][0], rows[some[y]][0]
+                pair = (min(a, b), max(a, b))
+                if pair not in tried:
+                    tried[pair] = similarity(sequences[x], sequences[y]) >= LEAST
+                if tried[pair]:
+                    out.add(pair)
+                    own[own == own[y]] = own[x]
+            if len(tried) > 500_000:
+                tried.clear()
+            if out:
+                yield _pairs(out)
+        yield _pairs(set())
+
+    return _ordered(groups, ["bucket", "node", "n", "minima", "label", "words"]).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -275,8 +341,8 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
             kept, last, left = [], None, None
             for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 if x is not last:
-                    last, left = x, shingles(np.frombuffer(x, np.uint64))
-                if similarity(left, shingles(np.frombuffer(y, np.uint64))) >= LEAST:
+                    last, left = x, shingles(np.frombuffer(x, np.uint32).astype(np.uint64))
+                if similarity(left, shingles(np.frombuffer(y, np.uint32).astype(np.uint64))) >= LEAST:
                     kept.append(k)
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
@@ -300,7 +366,7 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(low, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = materialize(small.distinct(), "star")
@@ -318,30 +384,28 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = buckets.withColumn("texts", F.count("*").over(Window.partitionBy("bucket"))).where("texts > 1").select("bucket", "node")
     groups = materialize(shared.join(nodes.select("node", "n", "minima"), "node"), "omh-groups")
 
-    tried = materialize(candidates(groups, NEAREST, labelled=False), "omh-pairs")
+    tried = materialize(candidates(groups), "omh-pairs")
     wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(wanted.join(nodes.select("node", "doc"), "node"), "omh-wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in sliced(batches, 1024):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words(x).tobytes() for x in texts_of(batch, 1)], pa.binary())], ["node", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words(x).astype(np.uint32).tobytes() for x in texts_of(batch, 1)], pa.binary())], ["node", "words"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), node_of(F.col("text")).alias("node"), "text")
-    texts = texts.join(wanted, ["node", "doc"], "left_semi").select("node", "text").mapInArrow(hashed, "node binary, words binary")
+    # The candidates grow with the corpus: not a side to broadcast, at any size.
+    texts = texts.join(wanted.hint("merge"), ["node", "doc"], "left_semi").select("node", "text").mapInArrow(hashed, "node binary, words binary")
     words = materialize(texts.groupBy("node").agg(F.first("words").alias("words")), "omh-words")
     links = materialize(verified(tried, words), "omh-links")
     labels = materialize(components(links), "omh-labels")
-    groups = materialize(groups.join(wanted.select("node"), "node", "left_semi"), "omh-groups")
-    for nearest in (8, 64, 1 << 30):
-        labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = materialize(candidates(labelled, nearest, labelled=True).join(tried, ["a", "b"], "left_anti"), "omh-pairs")
-        new = materialize(verified(pairs, words), "omh-links")
-        tried = tried.unionByName(pairs)
-        if new.isEmpty():
-            continue
-        links = links.unionByName(new)
-        labels = materialize(components(links), "omh-labels")
+    # Texts that have a candidate at all, in buckets with several classes.
+    labelled = groups.join(wanted.select("node"), "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    bucket = Window.partitionBy("bucket")
+    several = labelled.withColumn("several", F.min("label").over(bucket) != F.max("label").over(bucket)).where("several").drop("several")
+    more = materialize(links_between(several.join(words, "node")), "omh-links")
+    if not more.isEmpty():
+        labels = materialize(components(links.unionByName(more)), "omh-labels")
     return found.select("doc", "node"), labels
 
 
