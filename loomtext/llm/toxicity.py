@@ -249,7 +249,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.forget()
+        if model.constant is None:
+            self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
