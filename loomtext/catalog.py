@@ -174,7 +174,7 @@ def sentences_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _long("seg_idx"), "text", _long("start_pos"), _long("end_pos"))
 
 
-@query(f"with {sql.sentences(more='lang')} select lang, count(*) as sentences, sum(length(text)) as chars from sentences group by lang")
+@query(f"with {sql.sentences(more='lang')} select lang, count(*) as sentences, sum(length(text))::bigint as chars from sentences group by lang")
 def sentences_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = segment.segment(_docs(spark, sf_dir).select("doc_id", "lang", "text"))
     return found.groupBy("lang").agg(F.count("*").alias("sentences"), F.sum(F.length("text")).alias("chars"))
@@ -245,7 +245,7 @@ _CLASSIFIED = rf"""f as (select doc_id, text, {_LINES} as ls, string_split(text,
   + regexp_matches(text, '(?m)^\s*(public|private|protected)\s+(class|interface|enum)')::int) / 6::double * 0.7::double + least((n0 - length(translate(text, '{{}}[]()<>', ''))) / n0::double * 10, 1::double) * 0.3::double, 1::double) as syntax,
  least(coalesce(len(list_filter(ws, lambda w: w in ({_KEYWORDS}))) / nullif(len(ws), 0)::double, 0) * 10, 1::double) as keywords,
  case when len(ls) < 3 then 0 else least(len(list_filter(ls, lambda x: left(x, 1) in (' ', chr(9)))) / len(ls)::double + case when len(list_filter(ls, lambda x: (length(x) - length(ltrim(x, ' ' || chr(9)))) % 2 = 1)) = 0 then 0.3::double else 0 end, 1::double) end as indent,
- least((regexp_matches(lo, '\b(the|a|an|and|or|but|in|on|at|to|for|of|with)\b')::int + regexp_matches(lo, '\b(is|are|was|were|be|been|being)\b')::int) / 3::double * 0.6::double
+ least((regexp_matches(lo, '(^|[^\p{{L}}\p{{N}}_])(the|a|an|and|or|but|in|on|at|to|for|of|with)($|[^\p{{L}}\p{{N}}_])')::int + regexp_matches(lo, '(^|[^\p{{L}}\p{{N}}_])(is|are|was|were|be|been|being)($|[^\p{{L}}\p{{N}}_])')::int) / 3::double * 0.6::double
   + case when mw between 10 and 30 then 0.5::double when mw between 5 and 40 then 0.3::double else 0 end * 0.4::double, 1::double) as prose,
  case when ((starts_with(st, '{{') and ends_with(st, '}}')) or (starts_with(st, '[') and ends_with(st, ']'))) and json_valid(st) then 1::double
   when starts_with(st, '<') and ends_with(st, '>') and len(regexp_extract_all(st, '<[^>]+>')) >= 2 then 0.9::double
@@ -455,12 +455,12 @@ def block_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with p as (select {_KIND} as provider, conv_id, turn from conversations)
- select provider, 7 * count(*) as total, count(*) * case provider when 'generic' then 2 else 4 end as passed from p group by provider""")
+ select provider, 7 * count(*) as total, count(*) * case provider when 'generic' then 3 else 4 end as passed from p group by provider""")
 def validate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inputs.payloads(spark, sf_dir).select(providers.parse(F.col("raw")).alias("r"))
     usage = F.struct(F.col("r.prompt_tokens").alias("prompt_tokens"), F.col("r.completion_tokens").alias("completion_tokens"), F.col("r.total_tokens").alias("total_tokens"))
     record = F.to_json(F.struct(F.col("r.provider").alias("provider"), F.col("r.model").alias("model"), usage.alias("usage")))
-    checked = found.select(F.col("r.provider").alias("provider"), validate.validate_output(record).alias("checks"))
+    checked = found.select(F.col("r.provider").alias("provider"), record.alias("record")).select("provider", validate.validate_output(F.col("record")).alias("checks"))
     return stats.validation_summary(checked, "checks", "provider").select("provider", "total", "passed")
 
 
@@ -468,7 +468,7 @@ def validate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validate_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = prompts.rollup(prompts.process(_prompts(spark, sf_dir), ["conv_id", "turn"]))
     record = F.to_json(F.struct("content", "type", "token_estimate", "direction"))
-    return stats.validation_summary(rolled.select(validate.validate_input(record).alias("checks")))
+    return stats.validation_summary(rolled.select(record.alias("record")).select(validate.validate_input(F.col("record")).alias("checks")))
 
 
 @query(rf"""with d as ({inputs.DECORATED}), r as (select doc_id, text, {sql.response_clean('text')} as new from d),

@@ -119,7 +119,10 @@ def remove_quirks(text: Column, model: Column) -> Column:
     """Marks of each family whose name is in the model's name."""
     name = F.lower(F.coalesce(model, F.lit("")))
     for family, patterns in QUIRKS.items():
-        text = F.when(F.contains(name, F.lit(family)), remove_all(text, patterns, "s")).otherwise(text)
+        for pattern in patterns:
+            # The pattern is chosen, not the text, so that the text's expression isn't doubled; (?!) matches nothing.
+            chosen = F.when(F.contains(name, F.lit(family)), F.lit(rx.py(pattern, "s"))).otherwise(F.lit("(?!)"))
+            text = F.regexp_replace(text, chosen, F.lit(""))
     return text
 
 

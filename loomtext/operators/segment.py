@@ -31,17 +31,42 @@ def _segment(text: Column, kind: Column | str, start: Column, end: Column, code:
     return F.struct(text.alias("text"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"), start.cast("int").alias("start_pos"), end.cast("int").alias("end_pos"), (none if code is None else code).alias("code_type"))
 
 
-def spans(parts: Column) -> Column:
-    """(text, start, end) of consecutive parts of a text."""
-    empty = F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)")
-    sizes = F.transform(parts, F.length)
-    ends = F.aggregate(sizes, F.expr("array(0)"), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    return F.when(F.size(parts) == 0, empty).otherwise(F.transform(parts, lambda x, i: F.struct(x.alias("text"), F.get(ends, i).alias("start"), F.get(ends, i + 1).alias("end"))))
+#: Parts whose offsets are summed at once; offsets of a text's parts cost its parts times this, not their square.
+RUN = 64
+SPAN = "array<struct<text:string,start:int,end:int>>"
 
 
-def prose_sentences(text: Column, least: int = 3) -> Column:
-    """Sentences of a text without code: trimmed texts, offsets of the untrimmed spans."""
-    trimmed = F.transform(spans(F.split(text, rx.py(BREAK), -1)), lambda x: F.struct(rx.strip(x["text"]).alias("text"), x["start"].alias("start"), x["end"].alias("end")))
+def with_spans(df: DataFrame, parts: Column, name: str) -> DataFrame:
+    """df with `name`: (text, start, end) of consecutive parts of a text.
+
+    Running sums are made in two levels, runs of parts and parts within a run. Each level is a column of
+    its own, as an expression inside a lambda is evaluated again for each element.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("__parts") / RUN).cast("int") - 1, F.lit(0))), lambda i: F.slice("__parts", i * RUN + 1, F.lit(RUN)))
+    sizes = F.transform("__runs", lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + F.length(x)))
+    starts = F.aggregate("__sizes", F.expr("array(0)"), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def placed(run: Column, at: Column) -> Column:
+        step = lambda s, x: F.struct(F.concat(s["out"], F.array(F.struct(x.alias("text"), s["at"].alias("start"), (s["at"] + F.length(x)).alias("end")))).alias("out"), (s["at"] + F.length(x)).alias("at"))
+        return F.aggregate(run, F.struct(F.expr(f"cast(array() as {SPAN})").alias("out"), at.alias("at")), step, lambda s: s["out"])
+
+    out = df.withColumn("__parts", F.coalesce(parts, F.expr("cast(array() as array<string>)"))).withColumn("__runs", runs).withColumn("__sizes", sizes).withColumn("__starts", starts)
+    found = F.flatten(F.zip_with("__runs", F.slice("__starts", F.lit(1), F.size("__runs")), placed))
+    return out.withColumn(name, found).drop("__parts", "__runs", "__sizes", "__starts")
+
+
+def prose_parts(text: Column) -> Column:
+    """A text without code in parts, one for each sentence, not trimmed."""
+    return F.split(text, rx.py(BREAK), -1)
+
+
+def sentence_texts(text: Column, least: int = 3) -> Column:
+    """Sentences of a text without code, trimmed, without their offsets."""
+    return F.filter(F.transform(prose_parts(text), rx.strip), lambda x: F.length(x) >= least)
+
+
+def _prose_sentences(spans: Column, least: int) -> Column:
+    trimmed = F.transform(spans, lambda x: F.struct(rx.strip(x["text"]).alias("text"), x["start"].alias("start"), x["end"].alias("end")))
     return F.transform(F.filter(trimmed, lambda x: F.length(x["text"]) >= least), lambda x: _segment(x["text"], "sentence", x["start"], x["end"]))
 
 
@@ -109,19 +134,21 @@ def paragraph_type(text: Column) -> Column:
     )
 
 
-def paragraphs(text: Column) -> Column:
-    """Paragraphs between blank lines, not trimmed, with their offsets and types."""
-    parts = _paragraph_spans(text)
-    kept = F.filter(parts, lambda x: ~rx.blank(x["text"]))
-    return F.transform(kept, lambda x: _segment(x["text"], paragraph_type(x["text"]), x["start"], x["end"]))
+SEPARATOR = rf"\n{rx.WS}*\n"
+
+
+def paragraph_texts(text: Column) -> Column:
+    """Paragraphs between blank lines, not trimmed, without their offsets."""
+    return F.filter(F.split(text, rx.py(SEPARATOR), -1), lambda x: ~rx.blank(x))
 
 
-def _paragraph_spans(text: Column) -> Column:
-    """Parts between separators; a part starts where it and the separators before it put it."""
-    separator = rf"\n{rx.WS}*\n"
-    parts, gaps = F.split(text, rx.py(separator), -1), rx.all_of(text, separator)
+def _with_paragraphs(df: DataFrame, text: Column) -> DataFrame:
+    """Paragraphs and the separators after them are parts; the even ones are kept."""
+    parts, gaps = F.split(text, rx.py(SEPARATOR), -1), rx.all_of(text, SEPARATOR)
     both = F.flatten(F.zip_with(parts, gaps, lambda a, b: F.array(a, F.coalesce(b, F.lit("")))))
-    return F.filter(F.transform(spans(both), lambda x, i: F.when(i % 2 == 0, x)), lambda x: x.isNotNull())
+    out = with_spans(df, both, "__spans")
+    kept = F.filter(F.filter("__spans", lambda _, i: i % 2 == 0), lambda x: ~rx.blank(x["text"]))
+    return out.withColumn("segments", F.transform(kept, lambda x: _segment(x["text"], paragraph_type(x["text"]), x["start"], x["end"]))).drop("__spans")
 
 
 def with_segments(df: DataFrame, granularity: str = "sentence", text: str = "text", least: int = 3, preserve_code: bool = True) -> DataFrame:
@@ -130,11 +157,14 @@ def with_segments(df: DataFrame, granularity: str = "sentence", text: str = "tex
         raise ValueError(f"granularity must be one of {GRANULARITIES}: {granularity}")
     body = F.coalesce(F.col(text), F.lit(""))
     if granularity == "paragraph":
-        return df.withColumn("segments", paragraphs(body))
+        return _with_paragraphs(df, body)
     if not preserve_code:
-        return df.withColumn("segments", prose_sentences(body, least))
-    out = df.withColumn("__code", F.when(F.col(text).rlike(MAY_HAVE_CODE), sentences_around_code(least)(F.when(F.col(text).rlike(MAY_HAVE_CODE), F.col(text)))))
-    return out.withColumn("segments", F.when(F.col("__code").isNotNull(), F.col("__code")).otherwise(prose_sentences(body, least))).drop("__code")
+        out = with_spans(df, prose_parts(body), "__spans")
+        return out.withColumn("segments", _prose_sentences(F.col("__spans"), least)).drop("__spans")
+    code = F.coalesce(F.col(text).rlike(MAY_HAVE_CODE), F.lit(False))
+    out = df.withColumn("__code", sentences_around_code(least)(F.when(code, F.col(text))))
+    out = with_spans(out, F.when(F.col("__code").isNull(), prose_parts(body)), "__spans")
+    return out.withColumn("segments", F.coalesce("__code", _prose_sentences(F.col("__spans"), least))).drop("__code", "__spans")
 
 
 def segment(df: DataFrame, granularity: str = "sentence", text: str = "text", least: int = 3, preserve_code: bool = True) -> DataFrame:

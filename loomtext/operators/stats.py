@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import rx
 from loomtext.functions.text import hash_chunk
-from loomtext.operators.segment import paragraphs, prose_sentences
+from loomtext.operators.segment import paragraph_texts, sentence_texts
 
 #: Dollars for a thousand tokens, and answer tokens for each item.
 INPUT_PRICE, OUTPUT_PRICE, EMBEDDING_PRICE, ANSWER = 0.03, 0.06, 0.0001, 100
@@ -32,8 +32,8 @@ def pieces(docs: DataFrame, granularity: str, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     parts: dict[str, Column] = {
         "line": F.transform(rx.lines(body), rx.strip),
-        "segment": F.transform(prose_sentences(body), lambda x: x["text"]),
-        "block": F.transform(paragraphs(body), lambda x: x["text"]),
+        "segment": sentence_texts(body),
+        "block": paragraph_texts(body),
     }
     return docs.select(F.explode(parts[granularity]).alias("piece")).where("piece <> ''")
 
@@ -73,6 +73,8 @@ def storage_overhead(rows: DataFrame, text: str, *by: str) -> DataFrame:
 
 def validation_summary(checked: DataFrame, checks: str = "checks", *by: str) -> DataFrame:
     """Passed, failed errors and warnings of arrays of check results."""
-    rows = checked.select(*by, F.explode(checks).alias("c"))
-    failed = lambda s: F.count_if((F.col("c.severity") == s) & ~F.col("c.passed"))
-    return rows.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.col("c.passed")).alias("passed"), failed("error").alias("errors"), failed("warning").alias("warnings"))
+    count = lambda test: F.size(F.filter(checks, test))
+    failed = lambda s: count(lambda c: (c["severity"] == s) & ~c["passed"])
+    # Counted in each row's array, so that nothing is exploded.
+    rows = checked.select(*by, F.size(checks).alias("total"), count(lambda c: c["passed"]).alias("passed"), failed("error").alias("errors"), failed("warning").alias("warnings"))
+    return rows.groupBy(*by).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "passed", "errors", "warnings")))

@@ -43,7 +43,7 @@ def prompt_type(x: str) -> str:
     return rf"""case when regexp_matches({body}, '(?im)^###?\s*system:') then 'system'
  when starts_with({body}, 'def ') or starts_with({body}, 'class ') or contains({x}, '```') or {m(r"(?m)^\s{4,}\w+")} then 'code'
  when {m("(?i)(user:|assistant:|human:|ai:)")} then 'conversation'
- when {m(r"(?i)\b(example|e\.g\.|for instance|such as):")} or {m("(?im)^(input|output):")} then 'example' else 'instruction' end"""
+ when {m(r"(?i)(^|[^\p{L}\p{N}_])(example|e\.g\.|for instance|such as):")} or {m("(?im)^(input|output):")} then 'example' else 'instruction' end"""
 
 
 def response_clean(x: str) -> str:
@@ -72,7 +72,7 @@ def sentences(table: str = "documents", key: str = "doc_id", more: str = "") ->
     extra = f", {more}" if more else ""
     return f"""split_parts as (select {key}{extra}, {sentence_parts("coalesce(text, '')")} as parts from {table}),
  each_part as (select {key}{extra}, unnest(parts) as part, generate_subscripts(parts, 1) as i from split_parts),
- placed as (select *, coalesce(sum(length(part)) over (partition by {key} order by i rows between unbounded preceding and 1 preceding), 0) as start_pos from each_part),
+ placed as (select *, coalesce(sum(length(part)) over (partition by {key} order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start_pos from each_part),
  sentences as (select {key}{extra}, row_number() over (partition by {key} order by i) - 1 as seg_idx, {strip("part")} as text, start_pos, start_pos + length(part) as end_pos from placed where length({strip("part")}) >= 3)"""
 
 
