@@ -1,10 +1,11 @@
 """Token ids through the tokenizers library, with a memo of words.
 
-A tokenizer that drops white space and marks word ends encodes a text as the ids of its
-white-space-separated chunks, one after the other. So each distinct chunk is encoded once per
-worker, many at a time, and texts are assembled from the memo. Texts with a character for which
-that identity could fail, and all texts under other tokenizers, are encoded whole. The memo is
-only a speed-up of bounded size: dropping it changes no result.
+A tokenizer that lowers case, drops white space and marks word ends encodes a text as the ids of its
+white-space-separated chunks, one after the other, and a full stop or comma after letters is encoded
+by itself. So each distinct chunk is encoded once per worker, many at a time, and texts are
+assembled from the memo. Texts with something for which that identity could fail, and all texts under
+other tokenizers, are encoded whole. The memo is only a speed-up of bounded size: dropping it changes
+no result.
 """
 
 from __future__ import annotations
@@ -15,10 +16,20 @@ import re
 
 import numpy as np
 
-#: Separators of str.split() that the tokenizer's \s does not know, and letters whose lower case isn't one letter or depends on the neighbours.
-ODD = re.compile("[\x1c-\x1fΣİ]")
-SIMPLE = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
-LONGEST = 64
+#: Separators of str.split() that the tokenizer's \\s does not know, letters whose lower case isn't one letter or depends on the neighbours, and how special tokens begin.
+ODD = re.compile("[\x1c-\x1fΣİ]|<\\|")
+#: What each of those begins with, as one class, which is searched for fast.
+SELDOM = re.compile("[\x1c-\x1fΣİ<]")
+#: Stops and commas that aren't between a letter or digit and white space: they may be part of a longer run of marks.
+AWKWARD = re.compile(r"[.,](?:(?!\s|\Z)|(?<=[^\w\s][.,])|(?<=[_\s][.,]))")
+
+
+def chunks_of(text: str) -> list[str]:
+    """Pieces of a text that are encoded one by one: white-space-separated, with plain stops and commas set apart."""
+    text = text.lower()
+    if not AWKWARD.search(text):
+        text = text.replace(".", " .").replace(",", " ,")
+    return text.split()
 
 
 def default_path() -> str:
@@ -30,76 +41,79 @@ def default_path() -> str:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 700_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.memo, self.known = limit, {}, {}
+        self.limit, self.memo = limit, {}
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         suffix = spec["model"].get("end_of_word_suffix")
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.by_word = bool(suffix) and any(x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert") for x in steps)
+        lowers = any(x.get("type") == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.by_word = bool(suffix) and lowers and any(x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert") for x in steps)
         if self.by_word:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
             for piece, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
                 self.ends[k] = piece.endswith(suffix)
+            # For words of ASCII letters in lower case there is nothing to normalise and nothing to split.
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Plain words, joined so that the library is called once; word ends tell their ids apart."""
-        out = {}
+    def _words(self, tokenizer, words: list[str]) -> None:  # noqa: ANN001
+        """Words of letters, joined so that the library is called seldom; word ends tell their ids apart."""
+        memo = self.memo
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.asarray(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) != len(part):
-                out.update(zip(part, self._whole(part), strict=True))
+                memo.update(zip(part, self._whole(part), strict=True))
                 continue
-            low = 0
+            body, low = ids.tobytes(), 0
             for word, high in zip(part, cuts.tolist(), strict=True):
-                out[word] = ids[low:high].tobytes()
+                memo[word] = body[low:high]
                 low = high
-        return out
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.memo) + len(chunks) > self.limit:
-            self.memo.clear()
-        plain, rest, parts = set(), [], []
+        memo = self.memo
+        plain, stopped, rest = set(), [], []
         for chunk in chunks:
-            m = SIMPLE.fullmatch(chunk) if len(chunk) <= LONGEST else None
-            if m and m[1].isalpha():
-                parts.append((chunk, word := m[1].lower(), m[2]))
-                plain.add(word)
+            if chunk.isalpha():
+                plain.add(chunk)
+            elif chunk[-1] in ".," and (word := chunk[:-1]).isalpha():
+                stopped.append(chunk)
+                if word not in memo:
+                    plain.add(word)
             else:
                 rest.append(chunk)
-        if len(self.known) + len(plain) > self.limit:
-            self.known.clear()
-        known = self.known
-        known.update(self._words([x for x in plain if x not in known]))
-        marks = dict.fromkeys(x[2] for x in parts if x[2])
-        marks = dict(zip(marks, self._whole(list(marks)), strict=True)) | {"": b""}
-        for chunk, word, mark in parts:
-            self.memo[chunk] = known[word] + marks[mark]
-        self.memo.update(zip(rest, self._whole(rest), strict=True))
+        self._words(self.bare, [x for x in plain if x.isascii()])
+        self._words(self.tokenizer, [x for x in plain if not x.isascii()])
+        memo.update(zip(rest, self._whole(rest), strict=True))
+        stops = dict(zip(".,", self._whole([".", ","]), strict=True))
+        for chunk in stopped:
+            memo[chunk] = memo[chunk[:-1]] + stops[chunk[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
-        split = [None if ODD.search(x) else x.split() for x in texts]
         out: list[bytes] = []
-        for at in range(0, len(split), 256):
-            part = split[at : at + 256]
-            chunks = set().union(*(x for x in part if x is not None))
-            if new := chunks.difference(self.memo):
-                if len(self.memo) + len(new) > self.limit:
-                    new = chunks  # the memo is about to be dropped
+        for at in range(0, len(texts), 256):
+            part = texts[at : at + 256]
+            split = [None if SELDOM.search(x) and ODD.search(x) else chunks_of(x) for x in part]
+            chunks = set().union(*(x for x in split if x is not None))
+            new = chunks.difference(self.memo)
+            if len(self.memo) + len(new) > self.limit:
+                self.memo.clear()
+                new = chunks
+            if new:
                 self._learn(new)
             get = self.memo.__getitem__
-            for k, words in enumerate(part):
-                out.append(self._whole([texts[at + k]])[0] if words is None else b"".join(map(get, words)))
+            for text, words in zip(part, split, strict=True):
+                out.append(self._whole([text])[0] if words is None else b"".join(map(get, words)))
         return out
 
 
