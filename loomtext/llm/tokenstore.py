@@ -6,7 +6,7 @@ each stripe covers a narrow range of ids. ORC keeps integers run-length-encoded;
 and strides by metadata alone, and stripes are read in parallel.
 
 Defined results: a null or empty text is the end id alone; null ids come first; rows that are equal
-in doc_id stand next to each other in the order of their texts' hashes; an empty table gives no rows.
+in doc_id stand next to each other in their input order; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,10 +42,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
             start += int(ends[-1]) if len(ends) else 0
 
     spark = docs.sparkSession
-    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("__hash"))
+    # A second key, so that rows of one doc_id needn't be one range.
+    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("__row"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartitionByRange(n, "doc_id", "__hash").sortWithinPartitions("doc_id", "__hash").select("doc_id", "text")
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.create.index": "true", "orc.row.index.stride": str(stride_rows), "orc.stripe.size": str(stripe_bytes), "compression": "zstd"}
+    dealt = dealt.repartitionByRange(n, "doc_id", "__row").sortWithinPartitions("doc_id", "__row").select("doc_id", "text")
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.create.index": "true", "orc.row.index.stride": str(stride_rows), "orc.stripe.size": str(stripe_bytes), "compression": "lz4"}
     dealt.mapInArrow(encode, STORED).write.options(**options).orc(path)
 
 
