@@ -26,6 +26,10 @@ def parser() -> argparse.ArgumentParser:
     process.add_argument("--no-dedup", action="store_true")
     process.add_argument("--cache", help="folder of the index that outlives runs")
     process.add_argument("--stats", help="folder for statistics; .txt for plain text")
+    stream = process.add_mutually_exclusive_group()
+    stream.add_argument("--streaming", action="store_true", help="no effect on results: Spark reads inputs of any size in parts")
+    stream.add_argument("--no-streaming", action="store_true", help="no effect on results")
+    process.add_argument("--streaming-threshold", type=float, default=50, help="MB; no effect on results")
     commands.add_parser("version")
     return top
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomtext.operators import dedup, segment
@@ -114,3 +115,26 @@ def unseen_batches(stream: DataFrame, index_path: str, write: Callable[[DataFram
         dedup.index(batch, order).write.mode("overwrite").json(f"{index_path}/{number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+class Progress(StreamingQueryListener):
+    """Counts of a session's streams, and a call for each batch with them."""
+
+    def __init__(self, call: Callable[[dict], None] | None = None):
+        self.call = call
+        self.counts = {"batches": 0, "rows_read": 0, "rows_written": 0}
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        p = event.progress
+        self.counts = {"batches": self.counts["batches"] + 1, "rows_read": self.counts["rows_read"] + p.numInputRows, "rows_written": self.counts["rows_written"] + max(0, p.sink.numOutputRows)}
+        if self.call:
+            self.call(dict(self.counts))
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        pass

@@ -85,6 +85,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r.text for r in batch.collect()) == sorted(seen)
 
 
+def test_progress_is_counted(spark, tmp_path):
+    import time
+
+    spark.range(20).write.parquet(str(tmp_path / "in"))
+    seen = []
+    listener = streams.Progress(seen.append)
+    spark.streams.addListener(listener)
+    assert streams.run_available(streams.read_table(spark, str(tmp_path / "in")), "p").count() == 20
+    for _ in range(100):
+        if listener.counts["rows_read"] >= 20:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert listener.counts["rows_read"] == 20 and seen[-1]["batches"] >= 1
+
+
+def test_short_names(spark):
+    from loomtext import api
+
+    rows = spark.createDataFrame([(0, "User: hi"), (1, "User: hi"), (2, "Explain it")], "ord int, content string")
+    found = api.quick_process(rows, ["ord"])
+    assert [r.duplicate for r in found.orderBy("ord").collect()] == [False, True, False]
+    batch = rows.select("ord", F.lit("p").alias("id"), "content")
+    keeper = api.Prompts(auto_deduplicate=True)
+    first = keeper.process(batch, ["ord"]).select("hash").persist()
+    assert first.count() == 2
+    keeper.remember(first)
+    assert keeper.process(batch, ["ord"]).count() == 0
+    keeper.reset()
+    assert keeper.process(batch, ["ord"]).count() == 2
+
+
 def test_dedup_stream_state_is_bounded(spark):
     found = streams.dedup_batch(spark, "/root/testdata/sf0.001/events.parquet", ["user_id", "event_type"])
     assert found.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_type").distinct().count()
