@@ -67,7 +67,8 @@ def chunks(text: Column, most: int = 2048, overlap: int = 200) -> Column:
 def chunk(df: DataFrame, text: str = "text", most: int = 2048, overlap: int = 200) -> DataFrame:
     """One row per chunk: df's other columns, chunk_id, content, length, type."""
     names = [x for x in df.columns if x != text]
-    found = df.select(*names, F.explode(chunks(F.col(text), most, overlap)).alias("c"))
+    # Outer explodes keep the planner from computing the arrays once more for a filter by their sizes.
+    found = df.select(*names, F.explode_outer(chunks(F.col(text), most, overlap)).alias("c")).where(F.col("c").isNotNull())
     return found.select(*names, F.col("c.id").alias("chunk_id"), "c.content", "c.length", F.col("c.type").alias("chunk_type"))
 
 
@@ -75,7 +76,7 @@ def long_line_fragments(df: DataFrame, text: str = "text", most: int = 2048, ove
     """The windows over lines that exceed a chunk, in the JVM: df's other columns, line_idx, frag_idx, content."""
     check(most, overlap)
     names = [x for x in df.columns if x != text]
-    lines = df.select(*names, F.posexplode(F.split(text, "\n", -1)).alias("line_idx", "line")).where(F.length("line") + 1 > most)
+    lines = df.select(*names, F.posexplode_outer(F.split(text, "\n", -1)).alias("line_idx", "line")).where(F.length("line") + 1 > most)
     starts = F.sequence(F.lit(0), F.length("line") - 1, F.lit(most - overlap))
     cut = lines.select(*names, "line_idx", "line", F.posexplode(starts).alias("frag_idx", "at"))
     return cut.select(*names, "line_idx", "frag_idx", F.substring("line", F.col("at") + 1, F.lit(most)).alias("content"))

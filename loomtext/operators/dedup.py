@@ -2,6 +2,9 @@
 
 Only hashes and order keys are shuffled; texts are joined back by their survivors' keys. Flags are a
 row number within a hash; survivors alone need only an aggregate, which is combined before the shuffle.
+
+A missing hash is grouped as an empty one and sorted out after the aggregate: a filter on the hash, or one
+that the planner infers for a nullable key, would be pushed to the scan and compute every hash twice.
 """
 
 from __future__ import annotations
@@ -29,16 +32,18 @@ def flag(df: DataFrame, order: list[str], hash_column: str = "hash") -> DataFram
 
 def survivors(df: DataFrame, order: list[str], hash_column: str = "hash") -> DataFrame:
     """The first row of each hash, and all rows without one. The aggregate is combined before its shuffle, so a hot hash isn't one task's rows."""
-    first = df.where(F.col(hash_column).isNotNull()).groupBy(F.col(hash_column).alias("__hash")).agg(F.min(F.struct(*order)).alias("__first"))
-    keyed = df.join(first, F.col(hash_column) == F.col("__hash"), "left")
-    return keyed.where(F.col("__first").isNull() | (F.struct(*order) == F.col("__first"))).drop("__hash", "__first")
+    key = F.coalesce(F.col(hash_column), F.lit(""))
+    first = df.groupBy(key.alias("__hash")).agg(F.min(F.struct(*order)).alias("__first"))
+    keyed = df.withColumn("__key", key).join(first, F.col("__key") == F.col("__hash"))
+    return keyed.where(F.col(hash_column).isNull() | (F.struct(*order) == F.col("__first"))).drop("__hash", "__first", "__key")
 
 
 def index(df: DataFrame, order: list[str], text: str = "text", seen: Column | None = None) -> DataFrame:
     """One row per hash: preview of its first text, when it was first seen, occurrences."""
     when = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss") if seen is None else seen
     first = F.min(F.struct(*(F.col(x) for x in order), preview(F.col(text)).alias("__text"), when.alias("__seen")))
-    return df.where("hash is not null").groupBy("hash").agg(first.alias("f"), F.count("*").alias("occurrences")).select("hash", F.col("f.__text").alias("text"), F.col("f.__seen").alias("first_seen"), "occurrences")
+    grouped = df.groupBy(F.coalesce("hash", F.lit("")).alias("__hash")).agg(first.alias("f"), F.count("hash").alias("occurrences"), F.max("hash").alias("hash"))
+    return grouped.where("hash is not null").select("hash", F.col("f.__text").alias("text"), F.col("f.__seen").alias("first_seen"), "occurrences")
 
 
 def merge_index(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -84,6 +89,7 @@ def lookup(df: DataFrame, seen: DataFrame) -> DataFrame:
 
 def statistics(flagged: DataFrame, *by: str) -> DataFrame:
     """total_processed, unique_content, duplicates_found, dedup_ratio of flagged rows that have a hash."""
-    counted = flagged.where("hash is not null")
-    out = counted.groupBy(*by).agg(F.count("*").alias("total_processed"), F.count_if(~F.col("duplicate")).alias("unique_content"), F.count_if("duplicate").alias("duplicates_found"))
+    new = F.col("hash").isNotNull() & ~F.col("duplicate")
+    out = flagged.groupBy(*by).agg(F.count("hash").alias("total_processed"), F.count_if(new).alias("unique_content"), F.count_if("duplicate").alias("duplicates_found"))
+    out = out.where("total_processed > 0") if by else out
     return out.withColumn("dedup_ratio", F.coalesce(F.try_divide("duplicates_found", "total_processed"), F.lit(0.0)))

@@ -35,7 +35,7 @@ def process(df: DataFrame, order: list[str], content: str = "content", prompt_id
     """
     kept = [x for x in dict.fromkeys([*order, *(x for x in df.columns if x not in (content, prompt_id))]) if x in df.columns]
     normal = df.where(F.length(content) > 0).withColumn("__text", normalize_prompt(F.col(content))).withColumn("type", prompt_type(F.col("__text")))
-    cut = normal.select(*kept, F.col(prompt_id).cast("string").alias("prompt_id"), "type", F.explode(chunks(F.col("__text"), most, overlap)).alias("c"))
+    cut = normal.select(*kept, F.col(prompt_id).cast("string").alias("prompt_id"), "type", F.explode_outer(chunks(F.col("__text"), most, overlap)).alias("c")).where(F.col("c").isNotNull())
     rows = cut.select(*kept, "prompt_id", "type", F.col("c.id").alias("segment_index"), "c.content", "c.length", hash_chunk(F.col("c.content")).alias("hash"))
     place = F.row_number().over(Window.partitionBy("hash").orderBy(*order, "segment_index"))
     rows = rows.withColumn("duplicate", place > 1)

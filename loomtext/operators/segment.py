@@ -171,4 +171,6 @@ def segment(df: DataFrame, granularity: str = "sentence", text: str = "text", le
     """One row per segment: df's other columns, seg_idx and the segment's fields."""
     names = [x for x in df.columns if x != text]
     found = with_segments(df, granularity, text, least, preserve_code)
-    return found.select(*names, F.posexplode("segments").alias("seg_idx", "s")).select(*names, "seg_idx", "s.*")
+    # An outer explode: before a plain one the planner filters by the array's size, which computes the segments twice.
+    rows = found.select(*names, F.posexplode_outer("segments").alias("seg_idx", "s")).where(F.col("seg_idx").isNotNull())
+    return rows.select(*names, "seg_idx", "s.*")

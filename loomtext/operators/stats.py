@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, granularity: str, text: str = "text") -> DataFrame:
         "segment": sentence_texts(body),
         "block": paragraph_texts(body),
     }
-    return docs.select(F.explode(parts[granularity]).alias("piece")).where("piece <> ''")
+    return docs.select(F.explode_outer(parts[granularity]).alias("piece")).where("piece <> ''")
 
 
 def dedup_rates(docs: DataFrame, text: str = "text") -> DataFrame:
