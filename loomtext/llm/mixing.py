@@ -115,7 +115,8 @@ def plan(rows: DataFrame) -> DataFrame:
     more = rest.where(F.abs(F.col("total") - gap) < gap).groupBy(F.col("source").alias("__more_source")).agg(F.min(near).alias("more"))
     out = goal.join(cuts, same, "left").join(more, F.col("source").eqNullSafe(F.col("__more_source")), "left")
     ends = [F.col(f"{a}.{b}").alias(f"{a}_{c}") for a in ("cut", "more") for b, c in (("key", "key"), ("__id", "id"), ("size", "size"))]
-    return out.select(*goal.columns, "cut_group", *ends)
+    # As a table its size is known: a small one is broadcast to the documents, a large one joined by a shuffle.
+    return materialize(out.select(*goal.columns, "cut_group", *ends), "mix-plan")
 
 
 def taken(rows: DataFrame, plans: DataFrame) -> DataFrame:
