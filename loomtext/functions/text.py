@@ -62,18 +62,31 @@ def looks_like_code(text: Column) -> Column:
     return rx.flag_count(*(F.contains(text, F.lit(x)) for x in CODE_PARTS)) >= 2
 
 
+def flatten_for_dedup(text: Column) -> Column:
+    """Lower case, single spaces."""
+    return rx.strip(rx.replace(F.lower(text), f"{rx.WS}+", " "))
+
+
+def trim_for_dedup(flat: Column) -> Column:
+    """A flattened text; unless it is code, without marks at its ends."""
+    return F.when(looks_like_code(flat), flat).otherwise(F.btrim(flat, F.lit(".,;:!? \t\n")))
+
+
 def normalize_for_dedup(text: Column) -> Column:
     """Lower case, single spaces; texts that aren't code also lose marks at their ends."""
-    flat = rx.strip(rx.replace(F.lower(text), f"{rx.WS}+", " "))
-    return F.when(looks_like_code(flat), flat).otherwise(F.btrim(flat, F.lit(".,;:!? \t\n")))
+    return trim_for_dedup(flatten_for_dedup(text))
 
 
-def hash_text(text: Column, algorithm: str = "sha256", normalize: bool = True) -> Column:
-    """Digest for dedup, of the normalised text."""
+def digest(text: Column, algorithm: str = "sha256") -> Column:
+    """Hex digest by an algorithm of dedup."""
     if algorithm not in ("md5", "sha256", "blake2b"):
         raise ValueError(f"unsupported hash algorithm: {algorithm}")
-    body = normalize_for_dedup(text) if normalize else text
-    return blake2b(body) if algorithm == "blake2b" else hash_chunk(body, algorithm)
+    return blake2b(text) if algorithm == "blake2b" else hash_chunk(text, algorithm)
+
+
+def hash_text(text: Column, algorithm: str = "sha256", normalize: bool = True) -> Column:
+    """Digest for dedup, of the normalised text."""
+    return digest(normalize_for_dedup(text) if normalize else text, algorithm)
 
 
 def token_estimate(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.functions.text import hash_text, preview
+from loomtext.functions.text import digest, flatten_for_dedup, preview, trim_for_dedup
 
 SHORT = 10
 INDEX = "hash string, text string, first_seen string, occurrences bigint"
@@ -21,7 +21,11 @@ INDEX = "hash string, text string, first_seen string, occurrences bigint"
 
 def hashed(df: DataFrame, text: str = "text", algorithm: str = "sha256", least: int = SHORT, normalize: bool = True) -> DataFrame:
     """df with `hash`; texts of under `least` characters have none and are never duplicates."""
-    return df.withColumn("hash", F.when(F.length(text) >= least, hash_text(F.col(text), algorithm, normalize)))
+    if not normalize:
+        return df.withColumn("hash", F.when(F.length(text) >= least, digest(F.col(text), algorithm)))
+    # The flattened text is a column of its own, as the tests for code look at it a dozen times.
+    flat = df.withColumn("__flat", flatten_for_dedup(F.col(text)))
+    return flat.withColumn("hash", F.when(F.length(text) >= least, digest(trim_for_dedup(F.col("__flat")), algorithm))).drop("__flat")
 
 
 def flag(df: DataFrame, order: list[str], hash_column: str = "hash") -> DataFrame:
