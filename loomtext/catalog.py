@@ -129,7 +129,7 @@ def dedup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with f as (select *, row_number() over (partition by hash order by doc_id) > 1 as dup from ({_HASHED}))
  select lang, count(*) as total_processed, count(*) filter (not dup) as unique_content, count(*) filter (dup) as duplicates_found, count(*) filter (dup) / count(*)::double as dedup_ratio from f group by lang""")
 def dedup_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.statistics(dedup.flag(_hashed(spark, sf_dir), ["doc_id"]), "lang")
+    return dedup.summary(_hashed(spark, sf_dir), ["doc_id"], "lang")
 
 
 def _benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +153,12 @@ def dedup_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.known(dedup.hashed(_first_lines(_docs(spark, sf_dir)), least=0), _benchmark_index(spark, sf_dir)).select("doc_id")
 
 
+@query(f"""with f as (select *, row_number() over (partition by hash order by doc_id) > 1 as dup from ({_HASHED}))
+ select count(*) as total_processed, count(*) filter (not dup) as unique_content, count(*) filter (dup) as duplicates_found, count(*) filter (dup) / count(*)::double as dedup_ratio from f""")
+def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.statistics(dedup.flag(_hashed(spark, sf_dir), ["doc_id"]))
+
+
 @query(f"with h as ({_HASHED}), i as (select hash, count(*) as occurrences from h group by hash) select doc_id, occurrences from h join i using (hash)")
 def dedup_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _hashed(spark, sf_dir).where("hash is not null")
@@ -185,8 +191,7 @@ def sentences_count(spark: SparkSession, sf_dir: str) -> DataFrame:
  select lang, count(*) as total_processed, count(*) filter (not dup) as unique_content, count(*) filter (dup) as duplicates_found, count(*) filter (dup) / count(*)::double as dedup_ratio from f group by lang""")
 def sentence_dedup_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup.hashed(segment.segment(_docs(spark, sf_dir).select("doc_id", "lang", "text")))
-    # Without texts: the shuffle carries hashes and keys alone.
-    return dedup.statistics(dedup.flag(found.select("doc_id", "seg_idx", "lang", "hash"), ["doc_id", "seg_idx"]), "lang")
+    return dedup.summary(found, ["doc_id", "seg_idx"], "lang")
 
 
 @query(rf"""with d as ({inputs.DECORATED}), p as (select doc_id, unnest(string_split_regex(text, '\n\s*\n')) as part from d), k as (select doc_id, part, {sql.strip('part')} as body from p)

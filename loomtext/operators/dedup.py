@@ -97,3 +97,19 @@ def statistics(flagged: DataFrame, *by: str) -> DataFrame:
     out = flagged.groupBy(*by).agg(F.count("hash").alias("total_processed"), F.count_if(new).alias("unique_content"), F.count_if("duplicate").alias("duplicates_found"))
     out = out.where("total_processed > 0") if by else out
     return out.withColumn("dedup_ratio", F.coalesce(F.try_divide("duplicates_found", "total_processed"), F.lit(0.0)))
+
+
+def summary(df: DataFrame, order: list[str], *by: str, hash_column: str = "hash") -> DataFrame:
+    """What `statistics` gives for flagged rows, without flagging them.
+
+    Rows are counted by hash and group before they are shuffled, so a hash that a third of all rows share
+    arrives as a few rows; of a hash's groups, the one with its first row has its unique text.
+    """
+    key = F.coalesce(F.col(hash_column), F.lit(""))
+    counted = df.groupBy(key.alias("__hash"), *by).agg(F.count(hash_column).alias("n"), F.min(F.struct(*order)).alias("first"))
+    first = F.min("first").over(Window.partitionBy("__hash"))
+    placed = counted.withColumn("new", ((F.col("first") == first) & (F.col("n") > 0)).cast("bigint"))
+    total, new = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("new"), F.lit(0))
+    out = placed.groupBy(*by).agg(total.alias("total_processed"), new.alias("unique_content"), (total - new).alias("duplicates_found"))
+    out = out.where("total_processed > 0") if by else out
+    return out.withColumn("dedup_ratio", F.coalesce(F.try_divide("duplicates_found", "total_processed"), F.lit(0.0)))

@@ -93,6 +93,8 @@ def test_dedup(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").columns == ["hash", "text", "first_seen", "occurrences"]
     row = dedup.statistics(dedup.flag(df, ["doc_id"])).first()
     assert (row.total_processed, row.unique_content, row.duplicates_found, row.dedup_ratio) == (4, 2, 2, 0.5)
+    same = dedup.summary(df, ["doc_id"])
+    assert same.first() == row and dedup.summary(df.where("1 = 0"), ["doc_id"]).first().total_processed == 0
     for bad in (lambda: dedup.save_index(index, ""), lambda: dedup.export_index(index, "x", "xml")):
         with pytest.raises(ValueError):
             bad()
