@@ -132,25 +132,27 @@ def dedup_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.summary(_hashed(spark, sf_dir), ["doc_id"], "lang")
 
 
-def _benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.index(dedup.hashed(_first_lines(inputs.table(spark, sf_dir, "benchmark")), least=0), ["item_id"], seen=F.lit(""))
+def _sentence_hashes(df: DataFrame, key: str) -> DataFrame:
+    return dedup.hashed(segment.segment(df.select(key, "text")))
 
 
-def _first_lines(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", F.substring_index("text", "\n", 1))
+def _benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.index(_sentence_hashes(inputs.table(spark, sf_dir, "benchmark"), "item_id"), ["item_id", "seg_idx"], seen=F.lit(""))
 
 
-_FIRST = sql.dedup_normal("split_part(text, chr(10), 1)")
+_BOTH = f"""{sql.sentences()}, {sql.sentences("benchmark", "item_id", prefix="b_")},
+ s as (select doc_id, seg_idx, sha256({sql.dedup_normal('text')}) as hash from sentences where length(text) >= 10), b as (select distinct sha256({sql.dedup_normal('text')}) as hash from b_sentences where length(text) >= 10)"""
 
 
-@query(f"select doc_id from documents where sha256({_FIRST}) not in (select sha256({_FIRST}) from benchmark)")
+@query(f"with {_BOTH} select doc_id, count(*) as sentences from s anti join b using (hash) group by doc_id")
 def dedup_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.unseen(dedup.hashed(_first_lines(_docs(spark, sf_dir)), least=0), _benchmark_index(spark, sf_dir)).select("doc_id")
+    found = dedup.unseen(_sentence_hashes(_docs(spark, sf_dir), "doc_id"), _benchmark_index(spark, sf_dir))
+    return found.groupBy("doc_id").agg(F.count("hash").alias("sentences")).where("sentences > 0")
 
 
-@query(f"select doc_id from documents where sha256({_FIRST}) in (select sha256({_FIRST}) from benchmark)")
+@query(f"with {_BOTH} select doc_id, seg_idx, hash from s semi join b using (hash)")
 def dedup_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.known(dedup.hashed(_first_lines(_docs(spark, sf_dir)), least=0), _benchmark_index(spark, sf_dir)).select("doc_id")
+    return dedup.known(_sentence_hashes(_docs(spark, sf_dir), "doc_id"), _benchmark_index(spark, sf_dir)).select("doc_id", _long("seg_idx"), "hash")
 
 
 @query(f"""with f as (select *, row_number() over (partition by hash order by doc_id) > 1 as dup from ({_HASHED}))

@@ -17,7 +17,9 @@ def with_ids(df: DataFrame, order: list[str], prompt_id: str = "id") -> DataFram
 
     Numbers are counted in ranges of the order: rows by range partition, so no one task holds all rows.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    # A fixed number of ranges: the planner doesn't merge them, so both uses below see the same ones.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
     place = F.row_number().over(Window.partitionBy("__part").orderBy("__at"))
     placed = parts.withColumn("__place", place)
     sizes = parts.groupBy(F.col("__part").alias("__p")).agg(F.count("*").alias("__rows"))

@@ -67,13 +67,13 @@ def sentence_parts(x: str) -> str:
     return f"list_transform(string_split({out}, chr(1)), lambda p: replace(p, chr(2), ''))"
 
 
-def sentences(table: str = "documents", key: str = "doc_id", more: str = "") -> str:
-    """Common table expressions that end in `sentences`: key, seg_idx, text, start_pos, end_pos and more."""
+def sentences(table: str = "documents", key: str = "doc_id", more: str = "", prefix: str = "") -> str:
+    """Common table expressions that end in `sentences` (with a prefix): key, seg_idx, text, start_pos, end_pos and more."""
     extra = f", {more}" if more else ""
-    return f"""split_parts as (select {key}{extra}, {sentence_parts("coalesce(text, '')")} as parts from {table}),
- each_part as (select {key}{extra}, unnest(parts) as part, generate_subscripts(parts, 1) as i from split_parts),
- placed as (select *, coalesce(sum(length(part)) over (partition by {key} order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start_pos from each_part),
- sentences as (select {key}{extra}, row_number() over (partition by {key} order by i) - 1 as seg_idx, {strip("part")} as text, start_pos, start_pos + length(part) as end_pos from placed where length({strip("part")}) >= 3)"""
+    return f"""{prefix}split_parts as (select {key}{extra}, {sentence_parts("coalesce(text, '')")} as parts from {table}),
+ {prefix}each_part as (select {key}{extra}, unnest(parts) as part, generate_subscripts(parts, 1) as i from {prefix}split_parts),
+ {prefix}placed as (select *, coalesce(sum(length(part)) over (partition by {key} order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start_pos from {prefix}each_part),
+ {prefix}sentences as (select {key}{extra}, row_number() over (partition by {key} order by i) - 1 as seg_idx, {strip("part")} as text, start_pos, start_pos + length(part) as end_pos from {prefix}placed where length({strip("part")}) >= 3)"""
 
 
 def word_set(x: str) -> str:
