@@ -53,10 +53,11 @@ BASE = ("chars", "words", "capitals", "symbols", "shouts", "digits", "stops", "s
 NAMES = (*BASE, "word_length", "short_share", "distinct_share", "line_words", "stops_per_word")
 
 
-def with_statistics(docs: DataFrame, prefix: str = "__q_") -> DataFrame:
-    """docs with a column for each statistic of `text`."""
-    found = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
-    found = found.withColumns({prefix + k: v for k, v in statistics(F.col("__text")).items()}).drop("__text")
+def with_statistics(docs: DataFrame, prefix: str = "__q_", row: bool = False) -> DataFrame:
+    """docs with a column for each statistic of `text`, and with a row number beside them if asked."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    number = {prefix + "row": F.monotonically_increasing_id()} if row else {}
+    found = docs.withColumns({prefix + k: v for k, v in statistics(text).items()} | number)
     return found.withColumns({prefix + k: v for k, v in _ratios({k: F.col(prefix + k) for k in BASE}).items()})
 
 
@@ -200,5 +201,11 @@ def quality_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents that the classifier doesn't reject, in docs' columns."""
-    return score(docs, fit(docs, labels), "__score").where(F.col("__score") >= least).drop("__score")
+    """The documents that the classifier doesn't reject, in docs' columns.
+
+    The filter refers to a row number beside the statistics: without it, the planner pushes the filter below
+    them and computes a statistic once for each rule that tests it.
+    """
+    rules = fit(docs, labels)
+    found = with_statistics(docs, row=True)
+    return found.where((rules.column() >= least) & (F.col("__q_row") >= 0)).select(*docs.columns)
