@@ -158,7 +158,8 @@ def recurring(docs: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc (LAST: null), and the positions of the lines that it loses; only documents that lose some."""
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
-    lines = docs.select(order.alias("doc"), F.posexplode(F.split(F.regexp_replace("text", VARIABLE, FIELD), "\n")).alias("pos", "line"))
+    # An outer explode: before a plain one the planner filters by the array's size, which masks and splits every text twice.
+    lines = docs.select(order.alias("doc"), F.posexplode_outer(F.split(F.regexp_replace("text", VARIABLE, FIELD), "\n")).alias("pos", "line")).where("pos is not null")
     own = lines.select("doc", "pos", F.xxhash64("line").alias("line_hash"))
     found = own.join(recurring(docs).select("line_hash", "first_doc"), "line_hash").where(F.col("doc") != F.col("first_doc"))
     return found.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
