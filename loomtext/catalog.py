@@ -356,11 +356,12 @@ def provider_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with p as (select conv_id, turn, text, {_KIND} as provider from conversations)
  select conv_id, turn, text as content, provider, case provider when 'openai' then 'gpt-4' when 'anthropic' then 'claude-3' when 'ollama' then 'llama2' else 'unknown' end as model,
- case when provider <> 'generic' then conv_id end as prompt_tokens, case when provider <> 'generic' then turn end as completion_tokens, case when provider <> 'generic' then conv_id + turn end as total_tokens,
+ case when provider <> 'generic' then conv_id else -1 end as prompt_tokens, case when provider <> 'generic' then turn else -1 end as completion_tokens, case when provider <> 'generic' then conv_id + turn else -1 end as total_tokens,
  case provider when 'openai' then 'stop' when 'anthropic' then 'end_turn' when 'ollama' then case when turn % 2 = 0 then 'stop' else 'length' end else 'unknown' end as finish_reason from p""")
 def provider_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inputs.payloads(spark, sf_dir).select("conv_id", "turn", providers.parse(F.col("raw")).alias("r"))
-    return found.select("conv_id", "turn", "r.content", "r.provider", "r.model", "r.prompt_tokens", "r.completion_tokens", "r.total_tokens", "r.finish_reason")
+    counts = [F.coalesce(F.col(f"r.{x}"), F.lit(-1).cast("bigint")).alias(x) for x in validate.USAGE_FIELDS]
+    return found.select("conv_id", "turn", "r.content", "r.provider", "r.model", *counts, "r.finish_reason")
 
 
 @query(f"select conv_id, turn, sha256({sql.response_clean('text')}) as hash from conversations")
@@ -391,10 +392,10 @@ def response_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "total_responses", "unique_responses", "duplicate_responses", F.array_join("providers", ",").alias("providers"), _long("min_normalized_length"), _long("max_normalized_length"), F.round("avg_normalized_length", 6).alias("avg_normalized_length"), F.round("average_similarity", 6).alias("average_similarity"))
 
 
-@query("select conv_id, turn, case role when 'user' then 8192 when 'assistant' then 4096 end as max_context from conversations")
+@query("select conv_id, turn, case role when 'user' then 8192 when 'assistant' then 4096 else 0 end as max_context from conversations")
 def provider_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = spark.createDataFrame([("user", 8192), ("assistant", 4096)], "role string, max_context int")
-    return responses.with_provider_config(_conversations(spark, sf_dir), configs, "role").select("conv_id", "turn", "max_context")
+    return responses.with_provider_config(_conversations(spark, sf_dir), configs, "role").select("conv_id", "turn", F.coalesce("max_context", F.lit(0)).alias("max_context"))
 
 
 # JSON
