@@ -13,10 +13,12 @@ shingles in either. Classes are the connected components of the verified links.
 Equal texts are one node. A bucket is streamed in blocks of at most MOST texts, sorted by their minima.
 First a block proposes few pairs: its most central text with all its candidates, each text with its
 nearest ones, and the bucket's first centre with the block's; these are verified by joins and give
-classes. Then the buckets that hold several classes are streamed again together with the texts' word
-hashes, and every candidate pair whose texts are still in different classes is verified in its block,
-with no limit on their number; only links come out. So a large group of copies costs few pairs, and a
-class isn't split because its first links failed.
+classes. Then the texts of each bucket that holds several classes stand in the order of their classes
+in blocks of BLOCK, and every two blocks (and each with itself) that aren't of one and the same class
+are streamed together with the texts' word hashes. Every pair of texts in different classes is verified
+there: the shingles that both hold bound their similarity exactly, and pairs within that bound are
+aligned; no estimate decides. Only links come out. So all pairs that share a bucket of any size are
+judged, a large group of copies costs few pairs of blocks, and no task holds more than two blocks.
 
 Defined results: null, empty and wordless texts are alike; texts of under K words are one shingle; a
 null doc_id comes last; rows with equal doc_ids are documents of their own; an empty table, no rows.
@@ -38,8 +40,10 @@ from loomtext.llm.common import materialize, sliced, texts_of
 
 K, LEAST = 5, 0.8
 SKETCHES, TAKEN, EXTRA = 16, 3, 64
-#: Estimated similarity of a candidate; three deviations of SKETCHES + EXTRA samples below LEAST.
+#: Estimated similarity of a pair that is proposed first; three deviations of SKETCHES + EXTRA samples below LEAST.
 LIKELY, MOST, NEAREST = 0.665, 1024, 3
+#: Texts of a block in the second pass, and shingles counted by one product of matrices.
+BLOCK, WIDE = 512, 4096
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LAST = 2**63 - 1
 REMEMBERED = 400_000
@@ -96,18 +100,38 @@ def labelled(flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return mixed(flat + occurrence * U(0xD6E8FEB86659FD93))
 
 
-def overlaps(sequences: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """For each sequence, how many shingles it shares with each one: no common subsequence is longer."""
-    sizes = np.asarray([len(x) for x in sequences])
-    owner = np.repeat(np.arange(len(sequences)), sizes)
-    _, codes, counts = np.unique(labelled(np.concatenate(sequences), owner), return_inverse=True, return_counts=True)
-    holders = owner[np.argsort(codes, kind="stable")]
-    starts = np.cumsum(counts) - counts
-    ends = np.cumsum(sizes)
-    for low, high in zip(ends - sizes, ends, strict=True):
-        own = codes[low:high]
-        n = counts[own]
-        yield np.bincount(holders[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sequences))
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each sequence of left shares with each of right: no common subsequence is longer."""
+    rows, columns = len(left), len(right)
+    sizes = np.asarray([len(x) for x in (*left, *right)])
+    owner = np.repeat(np.arange(rows + columns), sizes)
+    _, codes = np.unique(labelled(np.concatenate([*left, *right]), owner), return_inverse=True)
+    cut = sizes[:rows].sum()
+    a = np.bincount(codes[:cut], minlength=codes.max() + 1)
+    b = np.bincount(codes[cut:], minlength=len(a))
+    often = a * b > 64
+    found = np.zeros(rows * columns, np.int64)
+    # Shingles of few texts: each of their pairs is counted.
+    some = ~often & (a > 0) & (b > 0)
+    own, holder = codes[:cut][some[codes[:cut]]], owner[:cut][some[codes[:cut]]]
+    holders = owner[cut:][np.argsort(codes[cut:], kind="stable")] - rows
+    starts = np.cumsum(b) - b
+    for at in range(0, len(own), 1 << 16):
+        part = own[at : at + (1 << 16)]
+        n = b[part]
+        other = holders[np.repeat(starts[part] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        found += np.bincount(np.repeat(holder[at : at + (1 << 16)], n) * columns + other, minlength=rows * columns)
+    found = found.reshape(rows, columns)
+    # Those of many: by products of matrices.
+    place = np.full(len(a), -1)
+    place[often] = np.arange(often.sum())
+    places = place[codes]
+    for at in range(0, int(often.sum()), WIDE):
+        here = (places >= at) & (places < at + WIDE)
+        held = np.zeros((rows + columns, min(WIDE, int(often.sum()) - at)), np.float32)
+        held[owner[here], places[here] - at] = 1
+        found += (held[:rows] @ held[rows:].T).astype(np.int64)
+    return found
 
 
 def sketch(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,36 +312,71 @@ def candidates(groups: DataFrame) -> DataFrame:
     return _ordered(groups, ["bucket", "node", "n", "minima"]).mapInArrow(run, "a binary, b binary").distinct()
 
 
+def pairs_of_blocks(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, i, j (blocks), block, node, label: the texts of each two blocks of a bucket that hold several classes.
+
+    groups: bucket, node. Of buckets of the same texts one stays.
+    """
+    labelled = groups.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    each = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("texts"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mix"))
+    several = each.where("low <> high").groupBy("texts", "total", "mix").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("label", "node")) - 1
+    placed = materialize(labelled.join(several, "bucket").select("bucket", "node", "label", F.floor(rank / BLOCK).cast("int").alias("block")), "omh-placed")
+    ends = placed.groupBy("bucket", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    first, second = (ends.select("bucket", F.col("block").alias(x), F.col(y).alias(y)) for x, y in (("i", "low"), ("j", "high")))
+    pairs = first.join(second, "bucket").where("i <= j and low <> high").select("bucket", "i", "j")
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    return placed.join(sides, ["bucket", "block"]).select("bucket", "i", "j", "block", "node", "label")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[tuple]]]:
+    """block, node, label and words of each two blocks; True where they are one."""
+    held: list[tuple] = []
+    last = None
+    for batch in sliced(batches, 2 * BLOCK):
+        for bucket, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            if held and (bucket, i, j) != last:
+                yield last[1] == last[2], held
+                held = []
+            last = bucket, i, j
+            held.append(tuple(row))
+    if held:
+        yield last[1] == last[2], held
+
+
 def links_between(groups: DataFrame) -> DataFrame:
-    """Verified pairs (a < b) of candidates that have different labels. groups: bucket, node, n, minima, label, words.
+    """Verified pairs (a < b) of texts that have different labels. groups: as from pairs_of_blocks, with words.
 
     The shingles that two texts share bound their similarity; pairs within that bound are tried from the most
-    alike down, but for those that earlier links of the block have joined.
+    alike down, but for those that earlier links of the two blocks have joined.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tried: dict[tuple[bytes, bytes], bool] = {}
-        for _, rows in _blocks(batches):
-            label = np.unique([x[3] for x in rows], return_inverse=True)[1]
-            if label.max() == 0:
-                continue
-            good = np.triu(alike(*_arrays(rows)), 1)
-            apart = (good > 0) & (label[:, None] != label[None, :])
-            some = np.flatnonzero(apart.any(axis=0) | apart.any(axis=1))
-            if not len(some):
-                continue
-            sequences = [shingles(np.frombuffer(rows[z][4], np.uint32).astype(np.uint64)) for z in some.tolist()]
-            shared = np.stack(list(overlaps(sequences)))
+        for one, rows in _groups(batches):
+            own = np.unique([x[2] for x in rows], return_inverse=True)[1]
+            if len(rows) == 2:
+                low, high = sorted(x[1] for x in rows)
+                if (low, high) in tried:
+                    continue
+            sequences = [shingles(np.frombuffer(x[3], np.uint32).astype(np.uint64)) for x in rows]
             n = np.asarray([len(x) for x in sequences])
-            bound = shared / (n[:, None] + n[None, :] - shared)
-            own, good = label[some], good[np.ix_(some, some)]
-            i, j = np.nonzero((good > 0) & (bound >= LEAST) & (own[:, None] != own[None, :]))
+            if len(rows) == 2:
+                i, j = np.asarray([0]), np.asarray([1])
+            else:
+                # Sorted by block: the first block's texts against the second's, or all against all.
+                cut = 0 if one else sum(x[0] == rows[0][0] for x in rows)
+                shared = overlaps(sequences[: cut or None], sequences[cut:])
+                total = n[: cut or None, None] + n[None, cut:] - shared
+                close = (shared / total >= LEAST) & (own[: cut or None, None] != own[None, cut:])
+                i, j = np.nonzero(np.triu(close, 1) if one else close)
+                best = np.argsort(-(shared / total)[i, j], kind="stable")
+                i, j = i[best], j[best] + cut
             out = set()
-            for k in np.argsort(-bound[i, j], kind="stable").tolist():
-                x, y = int(i[k]), int(j[k])
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if own[x] == own[y]:
                     continue
-                a, b = rows[some[x]][0], rows[some[y]][0]
+                a, b = rows[x][1], rows[y][1]
                 pair = (min(a, b), max(a, b))
                 if pair not in tried:
                     tried[pair] = similarity(sequences[x], sequences[y]) >= LEAST
@@ -330,7 +389,10 @@ def links_between(groups: DataFrame) -> DataFrame:
                 yield _pairs(out)
         yield _pairs(set())
 
-    return _ordered(groups, ["bucket", "node", "n", "minima", "label", "words"]).mapInArrow(run, "a binary, b binary").distinct()
+    spark = groups.sparkSession
+    keys = ["bucket", "i", "j"]
+    dealt = groups.select(*keys, "block", "node", "label", "words").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "block")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -385,7 +447,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = materialize(shared.join(nodes.select("node", "n", "minima"), "node"), "omh-groups")
 
     tried = materialize(candidates(groups), "omh-pairs")
-    wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
+    wanted = groups.select("node").distinct()
     wanted = materialize(wanted.join(nodes.select("node", "doc"), "node"), "omh-wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,16 +456,12 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words(x).astype(np.uint32).tobytes() for x in texts_of(batch, 1)], pa.binary())], ["node", "words"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), node_of(F.col("text")).alias("node"), "text")
-    # The candidates grow with the corpus: not a side to broadcast, at any size.
+    # These texts grow with the corpus: not a side to broadcast, at any size.
     texts = texts.join(wanted.hint("merge"), ["node", "doc"], "left_semi").select("node", "text").mapInArrow(hashed, "node binary, words binary")
     words = materialize(texts.groupBy("node").agg(F.first("words").alias("words")), "omh-words")
     links = materialize(verified(tried, words), "omh-links")
     labels = materialize(components(links), "omh-labels")
-    # Texts that have a candidate at all, in buckets with several classes.
-    labelled = groups.join(wanted.select("node"), "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    bucket = Window.partitionBy("bucket")
-    several = labelled.withColumn("several", F.min("label").over(bucket) != F.max("label").over(bucket)).where("several").drop("several")
-    more = materialize(links_between(several.join(words, "node")), "omh-links")
+    more = materialize(links_between(pairs_of_blocks(groups, labels).join(words, "node")), "omh-links")
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "omh-labels")
     return found.select("doc", "node"), labels

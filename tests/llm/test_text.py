@@ -134,6 +134,26 @@ def test_classes_are_brute_force(spark):
     assert neardup.document_classes(docs.where("1 = 0")).count() == 0
 
 
+def test_buckets_of_many_texts_lose_no_pair(spark):
+    """Texts of one passage and an ending: buckets of far over MOST, in which only the two texts of an ending are linked."""
+    passage = prose(1, 80)
+    words = neardup.Words()
+    pairs = []
+    for k in range(1500):
+        end = [f"{x}q{k}" for x in prose(1000 + k, 24).split()]
+        pairs.append((f"{passage} {' '.join(end)}", f"{passage} {' '.join(end[:14])} {' '.join(x + 'z' for x in end[14:])}"))
+    assert all(neardup.similarity(*(neardup.shingles(words(x)) for x in pair)) >= neardup.LEAST for pair in pairs)
+    docs = spark.createDataFrame([(2 * k + side, pair[side]) for k, pair in enumerate(pairs) for side in (0, 1)], "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in neardup.document_classes(docs).collect()} == {x: x // 2 * 2 for x in range(3000)}
+
+
+def test_shared_shingles_are_counted():
+    rng = np.random.default_rng(5)
+    some = [rng.integers(0, 30, rng.integers(1, 60)).astype(np.uint64) for _ in range(25)]
+    expected = [[(Counter(a.tolist()) & Counter(b.tolist())).total() for b in some[10:]] for a in some[:10]]
+    assert neardup.overlaps(some[:10], some[10:]).tolist() == expected
+
+
 def test_banded_alignment_is_the_full_one():
     rng = np.random.default_rng(1)
     for _ in range(200):
