@@ -8,9 +8,9 @@ the smallest id and loses them in all others, so no content is lost altogether.
 
 Lines that are equal but for tokens with digits are merged where they are read, before anything is
 shuffled, so a line that a third of all documents share reaches its leaf once per input batch. Leaves
-are streamed in sorted order; a leaf's distinct lines are compared in blocks of at most MOST lines (in
-the order of their text, so that similar lines stand together), so no task holds or compares all
-lines of a large leaf. Lines that are equal but for digits always meet, whatever the leaf's size.
+are streamed in sorted order, a leaf's distinct lines in blocks of at most MOST that meet the templates of
+all its earlier lines; so the result is that of all lines at once, whatever the leaf's size. A task holds
+a leaf's templates, with its distinct tokens and the documents of each, and a hash of each line.
 
 Defined results: a null text stays null and an empty one empty; blank and short lines stay; rows with
 equal doc_ids are one document; a null doc_id is a document, the last; an empty table gives no rows.
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -56,28 +58,51 @@ def leaf_of(tokens: list[str]) -> int:
     return signed(xxhash.xxh64_intdigest(f"{len(tokens)} {' '.join(tokens[:DEPTH])}".encode()))
 
 
-def merge_block(lines: list[list[str]], similar: float = SIMILAR) -> tuple[list[int], list[list[str]]]:
-    """Template number of each line and the templates; all lines have one number of tokens.
+class Leaf:
+    """Templates of the lines of one leaf, which all have one number of tokens; lines come in any number of blocks.
 
     Greedy, in order: a line joins the template that it agrees with most, if that is enough.
     """
-    code: dict[str, int] = {FIELD: 0}
-    coded = np.asarray([[code.setdefault(x, len(code)) for x in line] for line in lines], np.int32).reshape(len(lines), -1)
-    n = coded.shape[1]
-    templates, own, count = np.empty_like(coded), [], 0
-    for row in coded:
-        if count:
-            same = (templates[:count] == row).sum(axis=1) + ((templates[:count] == 0) & (row != 0)).sum(axis=1) * 0.5
-            best = int(same.argmax())
-            if same[best] >= similar * n:
-                templates[best] = np.where(templates[best] == row, row, 0)
-                own.append(best)
-                continue
-        templates[count] = row
-        own.append(count)
-        count += 1
-    names = list(code)
-    return own, [[names[x] for x in t] for t in templates[:count].tolist()]
+
+    def __init__(self, similar: float = SIMILAR) -> None:
+        self.similar, self.count = similar, 0
+        self.code: dict[str, int] = {FIELD: 0}
+        self.templates = np.empty((0, 0), np.int32)
+
+    def add(self, lines: list[list[str]]) -> list[int]:
+        """Template number of each line."""
+        code = self.code
+        coded = np.asarray([[code.setdefault(x, len(code)) for x in line] for line in lines], np.int32).reshape(len(lines), -1)
+        n = coded.shape[1]
+        own = []
+        for row in coded:
+            if self.count:
+                templates = self.templates[: self.count]
+                same = (templates == row).sum(axis=1) + ((templates == 0) & (row != 0)).sum(axis=1) * 0.5
+                best = int(same.argmax())
+                if same[best] >= self.similar * n:
+                    templates[best] = np.where(templates[best] == row, row, 0)
+                    own.append(best)
+                    continue
+            if self.count == len(self.templates):
+                more = np.empty((max(16, 2 * self.count), n), np.int32)
+                if self.count:
+                    more[: self.count] = self.templates
+                self.templates = more
+            self.templates[self.count] = row
+            own.append(self.count)
+            self.count += 1
+        return own
+
+    def names(self) -> list[list[str]]:
+        names = list(self.code)
+        return [[names[x] for x in t] for t in self.templates[: self.count].tolist()]
+
+
+def merge_block(lines: list[list[str]], similar: float = SIMILAR) -> tuple[list[int], list[list[str]]]:
+    """Template number of each line and the templates; all lines have one number of tokens."""
+    leaf = Leaf(similar)
+    return leaf.add(lines), leaf.names()
 
 
 def distinct_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,46 +133,54 @@ def distinct_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 Line = list  # [line, first document, last document]
 
 
-def _block(lines: list[Line]) -> Iterator[tuple[str, str, int, int]]:
-    """line, template, first and last document of each line of the block whose template recurs."""
-    if len(lines) == 1:
-        own, templates = [0], [lines[0][0].split()]
-    else:
-        own, templates = merge_block([x[0].split() for x in lines])
-    ends: dict[int, list[int]] = {}
-    for (_, low, high), k in zip(lines, own, strict=True):
-        end = ends.setdefault(k, [low, high])
-        end[0], end[1] = min(end[0], low), max(end[1], high)
-    for (line, _, _), k in zip(lines, own, strict=True):
+def _leaf(blocks: Iterator[list[Line]]) -> Iterator[tuple[int, str, int, int]]:
+    """line_hash, template, first and last document of each line of a leaf whose template recurs; blocks are not kept."""
+    leaf, ends = Leaf(), []
+    lines: list[tuple[int, int]] = []
+    for block in blocks:
+        for (line, low, high), k in zip(block, leaf.add([x[0].split() for x in block]), strict=True):
+            if k == len(ends):
+                ends.append([low, high])
+            ends[k][0], ends[k][1] = min(ends[k][0], low), max(ends[k][1], high)
+            lines.append((line_hash(line), k))
+    templates = leaf.names()
+    for line, k in lines:
         if ends[k][0] != ends[k][1]:
             yield line, " ".join(templates[k]), *ends[k]
 
 
+def _blocks(lines: Iterator[tuple]) -> Iterator[list[Line]]:
+    """A leaf's distinct lines in blocks of at most MOST; rows (leaf, line, first, last) in the order of their lines."""
+    held: list[Line] = []
+    for _, line, low, high in lines:
+        if held and held[-1][0] == line:
+            held[-1][1], held[-1][2] = min(held[-1][1], low), max(held[-1][2], high)
+            continue
+        if len(held) == MOST:
+            yield held
+            held = []
+        held.append([line, low, high])
+    yield held
+
+
 def recurring(docs: DataFrame) -> DataFrame:
     """line_hash (of the masked line), template, first_doc, last_doc of each line whose template is in two documents or more."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(rows: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
+        def batch_of(rows: list[tuple[int, str, int, int]]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [()] * 4
-            arrays = [pa.array([line_hash(x) for x in columns[0]], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["line_hash", "template", "first_doc", "last_doc"])
-
-        held: list[Line] = []
-        last, out = None, []
-        for batch in batches:
-            for leaf, line, low, high in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and leaf == last and held[-1][0] == line:
-                    held[-1][1], held[-1][2] = min(held[-1][1], low), max(held[-1][2], high)
-                    continue
-                if held and (leaf != last or len(held) == MOST):
-                    out += _block(held)
-                    held = []
-                last = leaf
-                held.append([line, low, high])
-            if len(out) > 10_000:
-                yield batch_of(out)
-                out = []
-        yield batch_of(out + list(_block(held)) if held else out)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["line_hash", "template", "first_doc", "last_doc"])
+
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        out = []
+        for _, lines in groupby(rows, itemgetter(0)):
+            for row in _leaf(_blocks(lines)):
+                out.append(row)
+                if len(out) > 10_000:
+                    yield batch_of(out)
+                    out = []
+        yield batch_of(out)
 
     spark = docs.sparkSession
     lines = distinct_lines(docs)
