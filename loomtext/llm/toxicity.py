@@ -1,6 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A text is its white-space-separated words in lower case without marks at their ends. A word enters
+A text is its white-space-separated words in lower case without marks at their ends; a word of over
+LONGEST characters is successive parts of that many, each a word. A word enters
 the network twice: as a word (its embedding if enough training documents hold it, else one for rare
 words) and as characters (the mean of its hashed character trigrams' embeddings). Two gated
 recurrent layers read a window of WINDOW words, one in each direction; attention pools their states
@@ -33,17 +34,27 @@ from loomtext.llm.common import extended, fold, sliced, texts_of
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD, CHAR, GRAMS = 8, 8, 8, 4096
+#: Characters of a word; a longer one is several.
+LONGEST = 64
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that a worker remembers, and windows that go through the network at once.
 REMEMBERED, AT_ONCE = 300_000, 4096
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """The words of a text; one of over LONGEST characters gives successive parts."""
+    out = []
+    for word in text.lower().split():
+        if len(word) <= LONGEST:
+            out.append(word)
+        else:
+            word = word.strip(MARKS)
+            out += [word[i : i + LONGEST] for i in range(0, max(1, len(word)), LONGEST)]
+    return out
 
 
 def bare(word: str) -> str:
-    return word.strip(MARKS)[:64]
+    return word.strip(MARKS)
 
 
 def grams_of(word: str) -> list[int]:
