@@ -27,6 +27,7 @@ null doc_id comes last; rows with equal doc_ids are documents of their own; an e
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,10 +211,10 @@ def common(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
     """Ordered similarity of two shingle sequences: common ones over those of either; 0 where it must be below `least`."""
-    need = least / (1 + least) * (len(a) + len(b))
+    need = math.ceil(least / (1 + least) * (len(a) + len(b)) - 1e-9)  # floats may stand just over the exact bound
     if min(len(a), len(b)) < need or min(np.isin(a, b).sum(), np.isin(b, a).sum()) < need:
         return 0.0
-    band = max(len(a), len(b)) - int(need) + 1  # a path that leaves it skips too many
+    band = max(len(a), len(b)) - need + 1  # a path that leaves it skips too many
     found = common(a, b, band)
     return found / (len(a) + len(b) - found)
 
@@ -243,7 +244,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 def alike(n: np.ndarray, minima: np.ndarray) -> np.ndarray:
     """Estimated similarity of each two texts of a block where they are candidates, else 0."""
     near = np.stack([(minima == row).mean(axis=1, dtype=np.float32) for row in minima])
-    fits = np.minimum.outer(n, n) >= LEAST * np.maximum.outer(n, n)
+    fits = np.minimum.outer(n, n) >= LEAST * np.maximum.outer(n, n) - 1e-9
     np.fill_diagonal(fits, False)
     return np.where((near >= LIKELY) & fits, near, 0)
 
