@@ -119,12 +119,13 @@ class Rollup:
             fs.delete(self._fs(f"{self.path}/{name}")[1], True)
 
 
-def document_totals(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Totals of all documents, through five batches.
+def document_totals(docs: DataFrame, path: str | None = None, whole: bool = False) -> DataFrame:
+    """Totals of all documents, through five batches, or six.
 
     All texts are inserted under two versions: white-space words, and the tokenizer. Then each count
     under the tokenizer is revised to include an end token (version kept), the insert is delivered a
-    second time, which changes nothing, and documents without a word are withdrawn.
+    second time, which changes nothing, and documents without a word are withdrawn. With
+    `whole` these are inserted again in the end, so that the totals cover every document.
     """
     spark = docs.sparkSession
     counts = materialize(count_documents(docs, path), "token-counts")
@@ -136,4 +137,6 @@ def document_totals(docs: DataFrame, path: str | None = None) -> DataFrame:
     rollup.apply("insert-tokens", deltas(counts, 1))
     bare = ended.where("n_words = 0")
     rollup.apply("withdraw-bare", deltas(bare, -1).unionByName(deltas(bare, -1, "n_words", "words")))
+    if whole:
+        rollup.apply("insert-bare", deltas(bare, 1).unionByName(deltas(bare, 1, "n_words", "words")))
     return rollup.totals()
