@@ -291,7 +291,7 @@ def prompt_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _conversations(spark, sf_dir).where("role = 'user' and length(text) <= 2000")
+    turns = _conversations(spark, sf_dir).where("role = 'user'")
     return turns.select("conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("content"))
 
 
