@@ -436,8 +436,7 @@ def blocks_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with d as ({inputs.DECORATED}) select doc_id, (doc_id % 8 = 0)::bigint * 2 as heading, (doc_id % 8 = 1)::bigint as code_block, (doc_id % 8 = 2)::bigint as thinking, (doc_id % 8 = 0)::bigint as list from d where not regexp_matches(text, '(?m)^\\s*([-*+]|\\d+\\.)\\s') or doc_id % 8 = 0")
 def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = (F.col("doc_id") % 8 == 0) | ~rx.found(F.col("text"), r"^\s*([-*+]|\d+\.)\s", "m")
-    return _blocks(spark, sf_dir).where(plain).select("doc_id", *(F.col(f"statistics.{x}").cast("bigint").alias(x) for x in ("heading", "code_block", "thinking", "list")))
+    return _blocks(spark, sf_dir).select("doc_id", *(F.col(f"statistics.{x}").cast("bigint").alias(x) for x in ("heading", "code_block", "thinking", "list")))
 
 
 @query("select doc_id, doc_id % 8 = 2 as dropped from documents")
