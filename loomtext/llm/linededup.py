@@ -2,7 +2,7 @@
 
 A line of at least `LEAST` tokens is parsed by a tree of fixed depth: first by its number of tokens,
 then by its DEPTH leading tokens; tokens that hold a digit count as a variable field there. In a leaf,
-lines that agree in SIMILAR of their positions share a template, whose differing positions become
+lines that agree in SIMILAR of their positions (of up to SHORT tokens: in all) share a template, whose differing positions become
 variable fields. A template that occurs in two or more documents keeps its lines in the document of
 the smallest id and loses them in all others, so no content is lost altogether.
 
@@ -12,7 +12,7 @@ are streamed in sorted order, a leaf's distinct lines in blocks of at most MOST
 all its earlier lines; so the result is that of all lines at once, whatever the leaf's size. A task holds
 a leaf's templates, with its distinct tokens and the documents of each, and a hash of each line.
 
-Defined results: a null text stays null and an empty one empty; blank and short lines stay; rows with
+Defined results: a null text stays null and an empty one empty; blank lines stay; rows with
 equal doc_ids are one document; a null doc_id is a document, the last; an empty table gives no rows.
 """
 
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import sliced
 
-LEAST, DEPTH, SIMILAR, MOST = 5, 3, 0.8, 1024
+LEAST, DEPTH, SIMILAR, MOST = 1, 3, 0.8, 1024
+#: Lines of up to so many tokens share a template only where all their tokens are equal.
+SHORT = 4
 FIELD = "<*>"
 #: A token with a digit, the same in Python and Java.
 VARIABLE = r"(?<![^ \t\n])[^ \t\n0-9]*+[0-9][^ \t\n]*+"
@@ -80,7 +82,7 @@ class Leaf:
                 templates = self.templates[: self.count]
                 same = (templates == row).sum(axis=1) + ((templates == 0) & (row != 0)).sum(axis=1) * 0.5
                 best = int(same.argmax())
-                if same[best] >= self.similar * n:
+                if same[best] >= (n if n <= SHORT else self.similar * n):
                     templates[best] = np.where(templates[best] == row, row, 0)
                     own.append(best)
                     continue
