@@ -38,6 +38,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(df: DataFrame, each: int = 256 << 20) -> int:
+    """Partitions for a shuffle of df's rows: the session's number, or more where the planner's size of df needs them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 20))
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null ids count as empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

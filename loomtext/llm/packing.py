@@ -38,22 +38,26 @@ RANK_BITS = 40
 def pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and the ids themselves)."""
     path = tokenizer or default_path()
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 512 if keep_ids else 2048):
-            ids, rows = batch.column(0).to_pylist(), []
-            for doc, body in zip(ids, encoder(path).encode(texts_of(batch, 1)), strict=True):
-                body += end
-                for k, at in enumerate(range(0, len(body), 4 * capacity)):
-                    part = body[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32())] + [pa.array(columns[i], pa.int64()) for i in (2, 3, 4)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if keep_ids:
-                arrays, names = [*arrays, pa.array(columns[5], pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        for batch in sliced(batches, 2048):
+            docs_at = 0
+            for ids, at in encoder(path).flat(texts_of(batch, 1), end_id):
+                sizes = np.diff(at)
+                n = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(sizes)), n)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[owner] - start)
+                low = (at[owner] + start).tolist()
+                body = memoryview(np.ascontiguousarray(ids)).cast("B")
+                parts = [body[4 * a : 4 * (a + b)] for a, b in zip(low, length.tolist(), strict=True)]
+                columns = [batch.column(0).slice(docs_at, len(sizes)).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if keep_ids:
+                    columns, names = [*columns, pa.array([x.tobytes() for x in parts], pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                docs_at += len(sizes)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, PIECES + (", ids binary" if keep_ids else ""))
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +34,7 @@ def count_documents(docs: DataFrame, path: str | None = None, version: str = "wo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2048):
-            n = np.asarray([len(x) // 4 for x in encoder(model).encode(texts_of(batch, 4))], np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n)], ["doc_id", "source", "lang", "n_words", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(encoder(model).lengths(texts_of(batch, 4)))], ["doc_id", "source", "lang", "n_words", "n_tokens"])
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), size_of(F.col("text")).alias("n_words"), "text")
     return chosen.mapInArrow(count, "doc_id bigint, source string, lang string, n_words bigint, n_tokens bigint").withColumn("tokenizer", F.lit(version))

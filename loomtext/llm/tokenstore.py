@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.llm.common import sliced, texts_of
+from loomtext.llm.common import partitions_for, sliced, texts_of
 from loomtext.llm.tokens import default_path, encoder
 
 STORED = "doc_id bigint, file_start bigint, n_tokens bigint, ids array<int>"
@@ -29,25 +29,23 @@ STORED = "doc_id bigint, file_start bigint, n_tokens bigint, ids array<int>"
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, stripe_bytes: int = 16 << 20, stride_rows: int = 1000) -> None:
     """Encode every text and write `path`: doc_id, file_start (ids before it in its file), n_tokens, ids."""
     model = tokenizer or default_path()
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
-        for batch in sliced(batches, 512):
-            bodies = [x + end for x in encoder(model).encode(texts_of(batch, 1))]
-            lengths = np.asarray([len(x) // 4 for x in bodies], np.int64)
-            ends = np.cumsum(lengths)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(bodies), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start + ends - lengths), pa.array(lengths), ids], ["doc_id", "file_start", "n_tokens", "ids"])
-            start += int(ends[-1]) if len(ends) else 0
-
-    spark = docs.sparkSession
+        for batch in sliced(batches, 4096):
+            low = 0
+            for ids, at in encoder(model).flat(texts_of(batch, 1), end_id):
+                lengths = np.diff(at)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(lengths)), pa.array(start + at[:-1]), pa.array(lengths), lists], ["doc_id", "file_start", "n_tokens", "ids"])
+                low, start = low + len(lengths), start + int(at[-1])
+
     # A second key, so that rows of one doc_id needn't be one range.
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("__row"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartitionByRange(n, "doc_id", "__row").sortWithinPartitions("doc_id", "__row").select("doc_id", "text")
+    dealt = dealt.repartitionByRange(partitions_for(docs), "doc_id", "__row").sortWithinPartitions("doc_id", "__row").select("doc_id", "text")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.create.index": "true", "orc.row.index.stride": str(stride_rows), "orc.stripe.size": str(stripe_bytes), "compression": "lz4"}
-    dealt.mapInArrow(encode, STORED).write.options(**options).orc(path)
+    # One file for each task, whatever the session says, as file_start counts a task's ids.
+    dealt.mapInArrow(encode, STORED).write.options(**options).option("maxRecordsPerFile", 0).orc(path)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:

@@ -146,3 +146,29 @@ def test_batches_are_idempotent_and_compact(spark, docs):
     assert rollup.apply("b", tokencounts.deltas(counts, -1)) and rollup.totals().count() == 0
     with pytest.raises(ValueError):
         rollup.apply("../x", tokencounts.deltas(counts, 1))
+
+
+def test_long_chunks_are_not_kept_and_lengths_agree():
+    e = Encoder(default_path(), limit=40)
+    texts = ["x" * 5000 + " y", "a1.5b, don't (stop)!", None or "", "tail " * 3000, "naïve café ﬁ ａ"]
+    for _ in range(3):
+        assert e.encode(texts) == e._whole(texts)
+        assert e.lengths(texts).tolist() == [len(x) // 4 for x in e._whole(texts)]
+        assert e.held <= e.most
+    ids, at = next(e.flat(texts, 7))
+    assert ids[at[1:] - 1].tolist() == [7] * len(texts)
+
+
+def test_one_file_for_a_task_whatever_the_session_says(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('word ', id) as text").repartition(3)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "100")
+    try:
+        tokenstore.write_ids(docs, f"file://{tmp_path}/ids")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    found = tokenstore.read_index(spark, f"file://{tmp_path}/ids").orderBy("doc_id").collect()
+    at = 0
+    for r in found:
+        assert r.start == at
+        at += r.n_tokens
+    assert len(found) == 3000
