@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: The planner's sizes from here on are guesses.
+UNKNOWN = 1 << 55
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the context's own.
 
@@ -39,9 +43,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def partitions_for(df: DataFrame, each: int = 256 << 20) -> int:
-    """Partitions for a shuffle of df's rows: the session's number, or more where the planner's size of df needs them."""
+    """Partitions for a shuffle of df's rows: the session's number, or more where the planner's size of df needs them.
+
+    The planner gives rows that aren't in files a size of 2^63 - 1 bytes: unknown, and not 2^35 partitions.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 20))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each) if size < UNKNOWN else 0)
 
 
 def fold(doc_id: str | Column, n: int) -> Column:

@@ -3,8 +3,9 @@
 A line of at least `LEAST` tokens is parsed by a tree of fixed depth: first by its number of tokens,
 then by its DEPTH leading tokens; tokens that hold a digit count as a variable field there. In a leaf,
 lines that agree in SIMILAR of their positions (of up to SHORT tokens: in all) share a template, whose differing positions become
-variable fields. A template that occurs in two or more documents keeps its lines in the document of
-the smallest id and loses them in all others, so no content is lost altogether.
+variable fields. A template that occurs in two or more documents keeps its lines in the first document
+and loses them in all others, so no content is lost altogether. Documents are in the order of their ids; rows
+of one id whose texts differ are documents of their own, in the order of a hash of the text.
 
 Lines that are equal but for tokens with digits are merged where they are read, before anything is
 shuffled, so a line that a third of all documents share reaches its leaf once per input batch. Leaves
@@ -12,8 +13,9 @@ are streamed in sorted order, a leaf's distinct lines in blocks of at most MOST
 all its earlier lines; so the result is that of all lines at once, whatever the leaf's size. A task holds
 a leaf's templates, with its distinct tokens and the documents of each, and a hash of each line.
 
-Defined results: a null text stays null and an empty one empty; blank lines stay; rows with
-equal doc_ids are one document; a null doc_id is a document, the last; an empty table gives no rows.
+Defined results: a null text stays null and an empty one empty; blank lines stay; rows that are equal in
+doc_id and text are one document and lose the same lines; null doc_ids come last; an empty table gives no rows;
+extra columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import sliced
+from loomtext.llm.common import partitions_for, sliced
 
 LEAST, DEPTH, SIMILAR, MOST = 1, 3, 0.8, 1024
 #: Lines of up to so many tokens share a template only where all their tokens are equal.
@@ -107,36 +109,46 @@ def merge_block(lines: list[list[str]], similar: float = SIMILAR) -> tuple[list[
     return leaf.add(lines), leaf.names()
 
 
+def _key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """What tells documents apart and orders them: the id (null: LAST) and a hash of the text."""
+    return [F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(text)).alias("own")]
+
+
+ENDS = "first_doc bigint, first_own bigint, last_doc bigint, last_own bigint"
+
+
 def distinct_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """leaf, line (masked), first_doc, last_doc: one row for each distinct line of a batch of documents."""
+    """leaf, line (masked), first and last document: one row for each distinct line of a batch of documents."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 4096):
             found: dict[str, list] = {}
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, own, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                key = (doc, own)
                 for line in masked(body).split("\n") if body else ():
                     at = found.get(line)
                     if at is None:
-                        found[line] = [doc, doc]
-                    else:
-                        at[0], at[1] = min(at[0], doc), max(at[1], doc)
-            out: tuple[list, ...] = ([], [], [], [])
+                        found[line] = [key, key]
+                    elif key < at[0]:
+                        at[0] = key
+                    elif key > at[1]:
+                        at[1] = key
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for line, (low, high) in found.items():
                 if len(tokens := line.split()) >= LEAST:
-                    for column, value in zip(out, (leaf_of(tokens), line, low, high), strict=True):
+                    for column, value in zip(out, (leaf_of(tokens), line, *low, *high), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["leaf", "line", "first_doc", "last_doc"])
+            kinds = (pa.int64(), pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["leaf", "line", "first_doc", "first_own", "last_doc", "last_own"])
 
-    chosen = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
-    return chosen.mapInArrow(split, "leaf bigint, line string, first_doc bigint, last_doc bigint")
+    return docs.select(*_key(doc_id, text), F.col(text).alias("text")).mapInArrow(split, f"leaf bigint, line string, {ENDS}")
 
 
 Line = list  # [line, first document, last document]
 
 
 def _leaf(blocks: Iterator[list[Line]]) -> Iterator[tuple[int, str, int, int]]:
-    """line_hash, template, first and last document of each line of a leaf whose template recurs; blocks are not kept."""
+    """line_hash, template, first document of each line of a leaf whose template recurs; blocks are not kept."""
     leaf, ends = Leaf(), []
     lines: list[tuple[int, int]] = []
     for block in blocks:
@@ -148,13 +160,14 @@ def _leaf(blocks: Iterator[list[Line]]) -> Iterator[tuple[int, str, int, int]]:
     templates = leaf.names()
     for line, k in lines:
         if ends[k][0] != ends[k][1]:
-            yield line, " ".join(templates[k]), *ends[k]
+            yield line, " ".join(templates[k]), *ends[k][0]
 
 
 def _blocks(lines: Iterator[tuple]) -> Iterator[list[Line]]:
     """A leaf's distinct lines in blocks of at most MOST; rows (leaf, line, first, last) in the order of their lines."""
     held: list[Line] = []
-    for _, line, low, high in lines:
+    for _, line, *ends in lines:
+        low, high = tuple(ends[:2]), tuple(ends[2:])
         if held and held[-1][0] == line:
             held[-1][1], held[-1][2] = min(held[-1][1], low), max(held[-1][2], high)
             continue
@@ -166,15 +179,15 @@ def _blocks(lines: Iterator[tuple]) -> Iterator[list[Line]]:
 
 
 def recurring(docs: DataFrame) -> DataFrame:
-    """line_hash (of the masked line), template, first_doc, last_doc of each line whose template is in two documents or more."""
+    """line_hash (of the masked line), template, first document of each line whose template is in two documents or more."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[tuple[int, str, int, int]]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["line_hash", "template", "first_doc", "last_doc"])
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["line_hash", "template", "first_doc", "first_own"])
 
-        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
         out = []
         for _, lines in groupby(rows, itemgetter(0)):
             for row in _leaf(_blocks(lines)):
@@ -184,41 +197,42 @@ def recurring(docs: DataFrame) -> DataFrame:
                     out = []
         yield batch_of(out)
 
-    spark = docs.sparkSession
     lines = distinct_lines(docs)
-    lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "leaf").sortWithinPartitions("leaf", "line")
-    return lines.mapInArrow(parse, "line_hash bigint, template string, first_doc bigint, last_doc bigint")
+    lines = lines.repartition(partitions_for(docs), "leaf").sortWithinPartitions("leaf", "line")
+    return lines.mapInArrow(parse, "line_hash bigint, template string, first_doc bigint, first_own bigint")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc (LAST: null), and the positions of the lines that it loses; only documents that lose some."""
-    order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
+    """doc (LAST: null) and own, a document's key, and the positions of the lines that it loses; only documents that lose some.
+
+    The lines of a very common line's hash are one key of the join: the planner splits it, as the other side has one row for it.
+    """
     # An outer explode: before a plain one the planner filters by the array's size, which masks and splits every text twice.
-    lines = docs.select(order.alias("doc"), F.posexplode_outer(F.split(F.regexp_replace("text", VARIABLE, FIELD), "\n")).alias("pos", "line")).where("pos is not null")
-    own = lines.select("doc", "pos", F.xxhash64("line").alias("line_hash"))
-    found = own.join(recurring(docs).select("line_hash", "first_doc"), "line_hash").where(F.col("doc") != F.col("first_doc"))
-    return found.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    lines = docs.select(*_key(), F.posexplode_outer(F.split(F.regexp_replace("text", VARIABLE, FIELD), "\n")).alias("pos", "line")).where("pos is not null")
+    own = lines.select("doc", "own", "pos", F.xxhash64("line").alias("line_hash"))
+    first = recurring(docs).select("line_hash", "first_doc", "first_own")
+    found = own.join(first, "line_hash").where((F.col("doc") != F.col("first_doc")) | (F.col("own") != F.col("first_own")))
+    return found.groupBy("doc", "own").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
 def _applied(docs: DataFrame) -> DataFrame:
-    """docs with `__dropped` (empty where nothing is) and `__kept`, the text that stays."""
-    found = dropped_lines(docs).withColumnRenamed("dropped", "__dropped").withColumnRenamed("doc", "__doc")
-    joined = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).join(found, F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__dropped", i)), "\n")
-    return joined.withColumn("__kept", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(kept)).withColumn("__dropped", F.coalesce("__dropped", F.array().cast("array<int>")))
+    """`row` (docs' columns), `text`, `dropped` (empty where nothing is) and `kept`, the text that stays."""
+    keyed = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"), *_key(), F.col("text").alias("text"))
+    joined = keyed.join(dropped_lines(docs), ["doc", "own"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("dropped", i)), "\n")
+    return joined.select("row", "text", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("kept"))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, dropped (positions), text (what stays)."""
     out = _applied(docs.select("doc_id", "text"))
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    return out.select("doc_id", F.greatest(lines, F.lit(0)).alias("n_lines"), F.size("__dropped").alias("n_dropped"), F.col("__dropped").alias("dropped"), F.col("__kept").alias("text"))
+    return out.select("row.doc_id", F.greatest(lines, F.lit(0)).alias("n_lines"), F.size("dropped").alias("n_dropped"), "dropped", F.col("kept").alias("text"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs in their columns, texts without the recurring lines; n_chars follows where it is a column."""
-    names = docs.columns
-    kept = _applied(docs).withColumn("text", F.col("__kept"))
-    if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*names)
+    new = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return _applied(docs).select(*(new.get(x, F.col("row")[x]).alias(x) for x in docs.columns))
