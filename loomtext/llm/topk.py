@@ -7,8 +7,13 @@ scored whole. No vector not yet met can score more than the bound: the sum of th
 times the values at which the lists stand. Reading stops when the kth best score is above that bound.
 A vector that ties with the kth score may still have a smaller id, so equality doesn't stop it.
 
-Blocks of queries go to each block of candidates; each yields at most k rows per query, and the best
-k of those are the answer. Query blocks, not the whole query set, are what a task holds.
+Candidates stay where they are and aren't shuffled. Queries come to them in passes: a pass holds PASS_BYTES of
+query vectors at most, which is what is broadcast, and reads all candidates once. In a task a query's kth score so far
+is what later blocks must reach. Each task yields at most k rows per query, and the best k of those are the answer. So
+what moves is the queries, to each worker, and k rows per query and task.
+
+Scores are exact integers: products are summed as doubles where no sum can reach 2^53, as 64-bit integers where none can
+reach 2^63, else as Python's integers; a score that doesn't fit in 64 bits is an error.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part;
 vectors of different lengths aren't compared; a query isn't its own candidate, but an equal row with
@@ -29,6 +34,8 @@ from loomtext.llm.common import materialize
 
 #: Candidates and queries in a block.
 ROWS, QUERIES = 8192, 512
+#: Bytes of the queries of a pass, which are broadcast.
+PASS_BYTES = 64 << 20
 #: Depth of the lists at the first look; it doubles.
 FIRST = 64
 PACKED = "n_dims int, block string, ids binary, rows binary, vectors binary"
@@ -67,18 +74,28 @@ def packed(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("row", "id", "vector").mapInArrow(pack, PACKED)
 
 
-def threshold_top(lists: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def kind_for(vectors: np.ndarray, queries: np.ndarray) -> type:
+    """The cheapest kind of number in which all products of integer vectors and queries are exact."""
+    if not vectors.size or not queries.size:
+        return np.float64
+    largest = lambda x: max(int(x.max()), -int(x.min()))
+    bound = largest(vectors) * largest(queries) * vectors.shape[1]
+    return np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 62 else object
+
+
+def threshold_top(lists: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The k best (id, score) among `vectors` but row `own`. lists[j]: positions, ascending in dimension j.
 
-    Positions ascend with the ids, so that equal scores are told apart by position.
+    Positions ascend with the ids, so that equal scores are told apart by position. Scores below `least` may be left out.
     """
     n = len(ids)
     dims = np.flatnonzero(query)
     up = query[dims] < 0
+    query = query.astype(vectors.dtype)
     met, depth = np.zeros(n, bool), min(n, FIRST)
     if not len(dims):
         depth = n
-    best_at, best = np.empty(0, np.int64), np.empty(0, np.int64)
+    best_at, best = np.empty(0, np.int64), np.empty(0, vectors.dtype)
     done = 0
     while True:
         if len(dims):
@@ -92,56 +109,99 @@ def threshold_top(lists: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows:
         at = np.flatnonzero(fresh)
         at = at[rows[at] != own]
         at = np.concatenate([best_at, at])
-        scores = np.concatenate([best, vectors[at[len(best) :]] @ query.astype(np.float64)])
-        if len(scores) > k:
+        scores = np.concatenate([best, vectors[at[len(best) :]] @ query])
+        if len(scores) > k and scores.dtype != object:
             edge = np.partition(scores, len(scores) - k)[len(scores) - k]
             keep = scores >= edge
             at, scores = at[keep], scores[keep]
-        order = np.lexsort((at, -scores))[:k]
+        order = np.lexsort((at, -scores))[:k] if scores.dtype != object else np.asarray(sorted(range(len(at)), key=lambda i: (-scores[i], at[i]))[:k], np.int64)
         best_at, best = at[order], scores[order]
         if depth == n:
             break
         edges = np.where(up, vectors[lists[dims, depth - 1], dims], vectors[lists[dims, n - depth], dims])
-        if len(best) == k and best[-1] > edges @ query[dims].astype(np.float64):
+        bound = edges @ query[dims]
+        if len(best) == k and best[-1] > bound or least is not None and least > bound:
             break
         done, depth = depth, min(n, 2 * depth)
-    return ids[best_at], best.astype(np.int64)
+    return ids[best_at], best.astype(np.int64) if best.dtype != object else np.asarray([int(x) for x in best], np.int64)
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, rows, vectors = (np.frombuffer(row[x], np.int64) for x in ("ids", "rows", "vectors"))
+    return ids, rows, vectors.reshape(-1, row["n_dims"])
+
+
+def passes(asked: DataFrame, most: int = PASS_BYTES) -> Iterator[list[dict]]:
+    """Query blocks in lists of about `most` bytes; the driver holds one list and one partition of blocks at a time."""
+    held, size = [], 0
+    for row in asked.toLocalIterator():
+        row = row.asDict()
+        row = {x: bytes(v) if isinstance(v, bytearray) else v for x, v in row.items()}
+        n = sum(len(row[x]) for x in ("ids", "rows", "vectors"))
+        if held and size + n > most:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield held
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score. Both inputs: row (unique), id, vector array<bigint>; a query's `row` is its own among the candidates."""
     spark = candidates.sparkSession
-    blocks = packed(candidates.where("vector is not null"), ROWS)
+    blocks = materialize(packed(candidates.where("vector is not null"), ROWS), "topk-blocks")
     asked = materialize(packed(queries.where("vector is not null"), QUERIES), "topk-queries")
-    # Every query block meets every candidate block of its length, by the key (length, query block).
-    keys = asked.groupBy("n_dims").agg(F.collect_list("block").alias("asked"))
-    spread = blocks.join(keys, "n_dims").withColumn("asked", F.explode("asked"))
-    asked = asked.select(F.col("block").alias("asked"), F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"), F.col("vectors").alias("queries"))
-    pairs = spread.join(asked, "asked").select("n_dims", "ids", "rows", "vectors", "query_ids", "query_rows", "queries")
-    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sorted_ = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = row["n_dims"]
-                ids, rows, query_ids, query_rows = (np.frombuffer(row[x], np.int64) for x in ("ids", "rows", "query_ids", "query_rows"))
-                if last != row["rows"]:
-                    vectors = np.frombuffer(row["vectors"], np.int64).reshape(-1, n).astype(np.float64)
-                    sorted_, last = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T), row["rows"]
-                out = ([], [], [])
-                for query_id, own, query in zip(query_ids.tolist(), query_rows.tolist(), np.frombuffer(row["queries"], np.int64).reshape(-1, n), strict=True):
-                    found, scores = threshold_top(sorted_, vectors, ids, rows, query, own, k)
-                    out[0].append(np.full(len(found), query_id))
-                    out[1].append(found)
-                    out[2].append(scores)
-                columns = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in out]
-                query_row = np.repeat(query_rows, [len(x) for x in out[1]])
-                yield pa.RecordBatch.from_arrays([pa.array(query_row), *(pa.array(x) for x in columns)], ["query_row", "query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def searched(part: list[dict]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(part)  # at most PASS_BYTES and a block
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+            for row in shared.value:
+                asked.setdefault(row["n_dims"], []).append(_unpacked(row))
+            best: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    block = batch.slice(at, 1).to_pylist()[0]
+                    ids, rows, exact = _unpacked(block)
+                    lists = np.ascontiguousarray(np.argsort(exact, axis=0, kind="stable").T)
+                    kinds: dict[type, np.ndarray] = {}
+                    for query_ids, query_rows, vectors in asked.get(block["n_dims"], ()):
+                        kind = kind_for(exact, vectors)
+                        if kind not in kinds:
+                            kinds[kind] = exact.astype(kind)
+                        for query_id, own, query in zip(query_ids.tolist(), query_rows.tolist(), vectors, strict=True):
+                            so_far = best.get(own)
+                            least = int(so_far[2][-1]) if so_far and len(so_far[2]) == k else None
+                            found, scores = threshold_top(lists, kinds[kind], ids, rows, query, own, k, least)
+                            if so_far:
+                                found, scores = np.concatenate([so_far[1], found]), np.concatenate([so_far[2], scores])
+                                order = np.lexsort((found, -scores))[:k]
+                                found, scores = found[order], scores[order]
+                            best[own] = query_id, found, scores
+            out = [(own, query_id, found, scores) for own, (query_id, found, scores) in best.items()]
+            for at in range(0, max(1, len(out)), 4096):
+                part = out[at : at + 4096]
+                n = [len(x[2]) for x in part]
+                columns = [np.repeat(np.asarray([x[i] for x in part], np.int64), n) for i in (0, 1)] + [np.concatenate([np.empty(0, np.int64), *(x[i] for x in part)]) for i in (2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_row", "query_id", "vec_id", "score"])
+
+        found = blocks.mapInArrow(search, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+        rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # One pass is planned as it is; of several, each is written, so that no two passes' queries are held at once.
+    out, last = [], None
+    for part in passes(asked):
+        if last is not None:
+            out.append(materialize(last, "topk-pass"))
+        last = searched(part)
+    if last is None:
+        return searched([])
+    for part in out:
+        last = last.unionByName(part)
+    return last
 
 
 def search_embeddings(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
