@@ -8,7 +8,7 @@ cells, and the signs of its low-frequency cosine coefficients against their medi
 
 Defined results: null and empty payloads have no sample rows until padded, so `pad` gives them one
 block of zero bytes; a broken image (checksum, length, filter or header) raises MediaError, or gives
-a null row where `errors="null"`; equal payloads give equal files and features.
+a null row where `errors="null"`; equal payloads give equal files and features; columns of the results' names are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ WIDTH, BLOCK, SIDE, LOW = 64, 64, 32, 8
 #: Fixed by the format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MOST_CHUNK = 1 << 20
+FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 class MediaError(ValueError):
@@ -81,24 +82,28 @@ def _unfilter(stream: np.ndarray) -> np.ndarray:
                 part[0] += above
             np.cumsum(part, axis=0, dtype=np.uint8, out=part)
         elif kind in (3, 4):
-            for row in part:
-                _by_pixel(row, above, kind)
-                above = row
+            part[:] = _by_diagonal(part, above, kind)
         elif kind:
             raise MediaError(f"unknown filter {kind}")
     return rows
 
 
-def _by_pixel(row: np.ndarray, above: np.ndarray, kind: int) -> None:
-    left = corner = 0
-    for i, (x, up) in enumerate(zip(row.tolist(), above.tolist(), strict=True)):
+def _by_diagonal(part: np.ndarray, above: np.ndarray, kind: int) -> np.ndarray:
+    """Rows of a filter that needs what is left and above: a diagonal's samples depend on earlier diagonals only."""
+    height, width = part.shape
+    out = np.zeros((height + 1, width + 1), np.int16)
+    out[0, 1:] = above
+    for d in range(height + width - 1):
+        r = np.arange(max(0, d - width + 1), min(height, d + 1))
+        c = d - r
+        left, up, corner = out[r + 1, c], out[r, c + 1], out[r, c]
         if kind == 3:
             guess = (left + up) >> 1
         else:
-            far = [abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)]
-            guess = (left, up, corner)[far.index(min(far))]
-        row[i] = left = (x + guess) & 255
-        corner = up
+            far = np.stack([np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)])
+            guess = np.choose(far.argmin(axis=0), [left, up, corner])
+        out[r + 1, c + 1] = (part[r, c] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def decode(image: bytes) -> np.ndarray:
@@ -114,6 +119,8 @@ def decode(image: bytes) -> np.ndarray:
         if image[at + 8 + n : at + 12 + n] != struct.pack(">I", zlib.crc32(kind + body)):
             raise MediaError(f"checksum of chunk {kind!r}")
         if kind == b"IHDR":
+            if n != 13:
+                raise MediaError("the header's length")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             data.append(body)
@@ -125,6 +132,8 @@ def decode(image: bytes) -> np.ndarray:
     except zlib.error as e:
         raise MediaError(str(e)) from e
     width, height = head[:2]
+    if not width or not height:
+        raise MediaError("no samples")
     if len(stream) != height * (width + 1):
         raise MediaError("wrong number of samples")
     return _unfilter(np.frombuffer(stream, np.uint8).reshape(height, width + 1))
@@ -152,6 +161,7 @@ def feature(samples: np.ndarray) -> str:
 
 def add_media(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
     """df with a binary column `media`: the PNG of each padded payload (null: empty)."""
+    df = df.select(*(f"`{x}`" for x in df.columns if x.lower() != media.lower()))
     names = df.columns
     at = names.index(payload)
 
@@ -165,11 +175,11 @@ def add_media(df: DataFrame, payload: str = "payload", media: str = "media") ->
 
 def media_features(df: DataFrame, media: str = "media", errors: str = "raise") -> DataFrame:
     """df's other columns with what the stored images hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    names = [x for x in df.columns if x != media]
+    names = [x for x in df.columns if x != media and x.lower() not in FEATURES]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 512):
-            rows = []
+            rows: list[tuple] = []
             for image in batch.column(len(names)).to_pylist():
                 try:
                     samples = decode(image or b"")
@@ -183,10 +193,10 @@ def media_features(df: DataFrame, media: str = "media", errors: str = "raise") -
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             arrays = [pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *arrays], [*names, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *arrays], [*names, *FEATURES])
 
-    schema = extended(df.select(*names).schema, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
-    return df.select(*names, media).mapInArrow(read, schema)
+    schema = extended(df.select(*(f"`{x}`" for x in names)).schema, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return df.select(*(f"`{x}`" for x in names), media).mapInArrow(read, schema)
 
 
 def document_media(docs: DataFrame) -> DataFrame:

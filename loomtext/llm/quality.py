@@ -5,11 +5,11 @@ the logistic loss; every path from a root to a node is a rule, a conjunction of
 threshold". A logistic model with an L1 penalty over the rules keeps few of them, and the kept rules
 become when-expressions whose weights are summed: scoring runs in the JVM, in one pass over the texts.
 
-The sample is bounded by `most_documents` labelled rows (smallest hashes of their ids); texts are read
-whole for it and for scoring.
+The sample is bounded by `most_documents` labelled ids (smallest hashes), one row for each (its greatest text); texts are
+read whole for it and for scoring, and the driver gathers their statistics only.
 
 Defined results: a null or empty text has statistics 0; without labels of both kinds the score is the
-smoothed share of label 1; repeated rows are scored alike; an empty table gives no rows.
+smoothed share of label 1; repeated rows are scored alike; an empty table gives no rows; columns of any name stay.
 """
 
 from __future__ import annotations
@@ -61,6 +61,14 @@ def with_statistics(docs: DataFrame, prefix: str = "__q_", row: bool = False) ->
     return found.withColumns({prefix + k: v for k, v in _ratios({k: F.col(prefix + k) for k in BASE}).items()})
 
 
+def _prefix(docs: DataFrame) -> str:
+    """A beginning of names that no column of docs has."""
+    prefix = "__q_"
+    while any(x.lower().startswith(prefix) for x in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 @dataclass
 class Rules:
     """An intercept, and rules with their weights."""
@@ -184,14 +192,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_documents: int = 12_000, folds:
     wanted = kept.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(most_documents)
     # Of a fixed bound, so it may be broadcast.
     joined = docs.select(F.col("doc_id").alias("__doc"), "text").join(F.broadcast(wanted), F.col("__doc") == F.col("__id"))
+    # One row for an id, so that what the driver gathers has that bound too, however often an id is repeated.
+    joined = joined.groupBy("__doc").agg(F.min("__label").alias("__label"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
     rows = with_statistics(joined).select("__doc", "__label", *(f"__q_{x}" for x in NAMES)).toPandas()
     rows = rows.sort_values(list(rows.columns)).to_numpy(float)
     return learn(rows[:, 2:], rows[:, 1])
 
 
 def score(docs: DataFrame, rules: Rules, name: str = "quality_score") -> DataFrame:
-    """docs with a column of scores."""
-    return with_statistics(docs).select(*docs.columns, rules.column().alias(name))
+    """docs with a column of scores; one that has its name is replaced."""
+    prefix = _prefix(docs)
+    return with_statistics(docs, prefix).select(*(f"`{x}`" for x in docs.columns if x.lower() != name.lower()), rules.column(prefix).alias(name))
 
 
 def quality_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,6 +217,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFra
     The filter refers to a row number beside the statistics: without it, the planner pushes the filter below
     them and computes a statistic once for each rule that tests it.
     """
-    rules = fit(docs, labels)
-    found = with_statistics(docs, row=True)
-    return found.where((rules.column() >= least) & (F.col("__q_row") >= 0)).select(*docs.columns)
+    rules, prefix = fit(docs, labels), _prefix(docs)
+    found = with_statistics(docs, prefix, row=True)
+    return found.where((rules.column(prefix) >= least) & (F.col(prefix + "row") >= 0)).select(*(f"`{x}`" for x in docs.columns))

@@ -12,8 +12,8 @@ Only documents have labels, so windows are learnt as instances of a bag: each ro
 windows that score highest in toxic documents, and on the highest and some others in clean ones.
 Word embeddings start from the words' log-odds in the training documents.
 
-The training sample is bounded by `most_documents` labelled rows for each label (smallest hashes of
-their ids, and whole texts of them). All texts are scored whole.
+The training sample is bounded by `most_documents` labelled ids for each label (smallest hashes of
+their ids, and whole texts of them) and by `most_chars` characters in all. All texts are scored whole.
 
 Defined results: null and empty texts are one window of a blank; without labels of both kinds the
 score is the smoothed share of label 1; repeated rows are scored alike; an empty table gives no rows.
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomtext.llm.common import extended, fold, sliced, texts_of
 
@@ -345,15 +346,21 @@ class Scorer:
         return len(starts)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most_documents: int, folds: int, held: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most `most_documents` rows of each label outside the held-out fold."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, most_documents: int, folds: int, held: int, most_chars: int = 64_000_000) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most `most_documents` ids of each label outside the held-out fold, whole texts of `most_chars` characters in all.
+
+    Where texts are so long that this bound counts, those of the smallest hashes of their ids stay.
+    """
     kept = labels.select(F.col("doc_id").alias("__id"), F.col(label).alias("__label")).where(F.col("__label").isin(0, 1) & F.col("__id").isNotNull() & (fold("__id", folds) != held))
     kept = kept.groupBy("__id").agg(F.max("__label").alias("__label"))
     # Two bounded top lists, so what is broadcast has a fixed bound.
     parts = [kept.where(F.col("__label") == x).orderBy(F.xxhash64("__id"), "__id").limit(most_documents) for x in (0, 1)]
     wanted = parts[0].unionByName(parts[1])
     first = docs.select(F.col("doc_id").alias("__doc"), "text").join(F.broadcast(wanted), F.col("__doc") == F.col("__id"))
-    rows = first.groupBy("__id").agg(F.min("__label").alias("label"), F.max(F.coalesce("text", F.lit(""))).alias("text")).orderBy("__id").select("text", "label").toArrow()
+    rows = first.groupBy("__id").agg(F.min("__label").alias("label"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    # Over the bounded sample only.
+    chars = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("__chars", chars).where(F.col("__chars") <= most_chars).orderBy("__id").select("text", "label").toArrow()
     return rows.column(0).to_pylist(), rows.column(1).to_pylist()
 
 
@@ -362,7 +369,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_documents: int = 2000, folds: i
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column `toxicity` of its whole texts' scores."""
+    """docs with a column `toxicity` of its whole texts' scores; one that has this name is replaced."""
+    docs = docs.select(*(f"`{x}`" for x in docs.columns if x.lower() != "toxicity"))
     names = docs.columns
     at = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: vocabulary and parameters
