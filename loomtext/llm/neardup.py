@@ -14,7 +14,7 @@ Equal texts are one node. A bucket is streamed in blocks of at most MOST texts,
 First a block proposes few pairs: its most central text with all its candidates, each text with its
 nearest ones, and the bucket's first centre with the block's; these are verified by joins and give
 classes. Then the texts of each bucket that holds several classes stand in the order of their classes
-in blocks of BLOCK, and every two blocks (and each with itself) that aren't of one and the same class
+in blocks of about BLOCK, and every two blocks (and each with itself) that aren't of one and the same class
 are streamed together with the texts' word hashes. Every pair of texts in different classes is verified
 there: the shingles that both hold bound their similarity exactly, and pairs within that bound are
 aligned; no estimate decides. Only links come out. So all pairs that share a bucket of any size are
@@ -51,6 +51,8 @@ REMEMBERED = 400_000
 
 U = np.uint64
 POSITION = U((1 << 24) - 1)
+#: Shingles of a text whose positions fit.
+VAST = int(POSITION)
 _rng = np.random.default_rng(2019)
 XORS = _rng.integers(0, 1 << 63, SKETCHES + EXTRA, dtype=np.uint64)
 FACTORS = _rng.integers(0, 1 << 63, SKETCHES + EXTRA, dtype=np.uint64) * U(2) + U(1)
@@ -143,7 +145,8 @@ def sketch(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     owner = np.repeat(np.arange(len(texts)), sizes)
     position = (np.arange(len(flat)) - starts[owner]).astype(np.uint64)
     labels = labelled(flat, owner)
-    position = np.minimum(position, POSITION)
+    position = np.minimum(position, POSITION)  # of texts that don't fit, the minima are taken one by one
+    vast = np.flatnonzero(sizes > VAST).tolist()
     keys = np.empty((len(texts), SKETCHES), np.uint64)
     minima = np.empty((len(texts), SKETCHES + EXTRA), np.uint8)
     none = U(0xFFFFFFFFFFFFFFFF)
@@ -153,7 +156,8 @@ def sketch(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         if i >= SKETCHES:
             minima[:, i] = (np.minimum.reduceat(y, starts) >> U(24)).astype(np.uint8)
             continue
-        y = (y * U(0x9E3779B97F4A7C15) & ~POSITION) | position
+        plain = y * U(0x9E3779B97F4A7C15) & ~POSITION
+        y = plain | position
         taken = []
         for k in range(TAKEN):
             low = np.minimum.reduceat(y, starts)
@@ -169,6 +173,13 @@ def sketch(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         for k in range(TAKEN):
             key = mixed(key * U(0x9E3779B97F4A7C15) + ordered[:, k])
         keys[:, i] = key
+        for text in vast:
+            own = plain[starts[text] : starts[text] + sizes[text]]
+            least = np.argpartition(own, TAKEN)[:TAKEN]
+            key = np.asarray([U(i + 1)])
+            for x in own[np.sort(least)]:
+                key = mixed(key * U(0x9E3779B97F4A7C15) + x)
+            keys[text, i] = key[0]
     return keys, minima, sizes
 
 
@@ -321,8 +332,13 @@ def pairs_of_blocks(groups: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = groups.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     each = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("texts"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mix"))
     several = each.where("low <> high").groupBy("texts", "total", "mix").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("label", "node")) - 1
-    placed = materialize(labelled.join(several, "bucket").select("bucket", "node", "label", F.floor(rank / BLOCK).cast("int").alias("block")), "omh-placed")
+    # Classes stand one after the other, and a text somewhere in its class: only counts of classes are ordered in a window.
+    chosen = labelled.join(several, "bucket")
+    sizes = chosen.groupBy("bucket", "label").agg(F.count("*").alias("members"))
+    before = F.coalesce(F.sum("members").over(Window.partitionBy("bucket").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("before") + F.pmod(F.xxhash64("node"), F.col("members"))
+    placed = chosen.join(sizes.withColumn("before", before), ["bucket", "label"]).select("bucket", "node", "label", F.floor(place / BLOCK).cast("int").alias("block"))
+    placed = materialize(placed, "omh-placed")
     ends = placed.groupBy("bucket", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     first, second = (ends.select("bucket", F.col("block").alias(x), F.col(y).alias(y)) for x, y in (("i", "low"), ("j", "high")))
     pairs = first.join(second, "bucket").where("i <= j and low <> high").select("bucket", "i", "j")
@@ -444,7 +460,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialize(sketches(docs), "omh-sketches")
     nodes = materialize(found.groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("minima").alias("minima")), "omh-nodes")
     buckets = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = buckets.withColumn("texts", F.count("*").over(Window.partitionBy("bucket"))).where("texts > 1").select("bucket", "node")
+    # Counted before they are shuffled, and joined by a key that is one row on its side, so that a large bucket can be split.
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1").select("bucket")
+    shared = buckets.join(several.hint("merge"), "bucket").select("bucket", "node")
     groups = materialize(shared.join(nodes.select("node", "n", "minima"), "node"), "omh-groups")
 
     tried = materialize(candidates(groups), "omh-pairs")
