@@ -1,7 +1,8 @@
 """Dedup by normalised hash: flags, survivors, an index that outlives runs, statistics.
 
-Only hashes and order keys are shuffled; texts are joined back by their survivors' keys. Flags are a
-row number within a hash; survivors alone need only an aggregate, which is combined before the shuffle.
+The first row of each hash is found by an aggregate of hashes and order keys, which is combined before its shuffle;
+rows meet it by their order key, which few rows share, and not by their hash. So neither a hash that a third of
+all rows have nor the rows without one are a task's rows; what is shuffled is the hashes and, once, the rows.
 
 A missing hash is grouped as an empty one and sorted out after the aggregate: a filter on the hash, or one
 that the planner infers for a nullable key, would be pushed to the scan and compute every hash twice.
@@ -28,18 +29,28 @@ def hashed(df: DataFrame, text: str = "text", algorithm: str = "sha256", least:
     return flat.withColumn("hash", F.when(F.length(text) >= least, digest(trim_for_dedup(F.col("__flat")), algorithm))).drop("__flat")
 
 
+def _placed(df: DataFrame, order: list[str], hash_column: str) -> DataFrame:
+    """df with `__first`: whether a row's order key is that of its hash's first row; false without a hash."""
+    key = F.coalesce(F.col(hash_column), F.lit(""))
+    first = df.groupBy(key.alias("__hash")).agg(F.min(F.struct(*order)).alias("__key"), F.count(hash_column).alias("__n")).where("__n > 0")
+    first = first.select("__hash", *(F.col(f"__key.{x}").alias(f"__key{i}") for i, x in enumerate(order)))
+    same = F.col("__own") == F.col("__hash")
+    for i, x in enumerate(order):
+        same = same & F.col(x).eqNullSafe(F.col(f"__key{i}"))
+    joined = df.withColumn("__own", key).join(first, same, "left")
+    return joined.withColumn("__first", F.col("__hash").isNotNull() & F.col(hash_column).isNotNull()).drop("__hash", "__own", *(f"__key{i}" for i in range(len(order))))
+
+
 def flag(df: DataFrame, order: list[str], hash_column: str = "hash") -> DataFrame:
-    """df with `duplicate`: whether an earlier row has the same hash. A null hash is never a duplicate."""
-    place = F.row_number().over(Window.partitionBy(hash_column).orderBy(*order))
-    return df.withColumn("duplicate", F.col(hash_column).isNotNull() & (place > 1))
+    """df with `duplicate`: whether an earlier row has the same hash. A null hash is never a duplicate; of rows equal in order and hash, one is the first."""
+    place = F.row_number().over(Window.partitionBy(*order, hash_column, "__first").orderBy(F.lit(0)))
+    found = _placed(df, order, hash_column)
+    return found.withColumn("duplicate", F.col(hash_column).isNotNull() & (~F.col("__first") | (place > 1))).drop("__first")
 
 
 def survivors(df: DataFrame, order: list[str], hash_column: str = "hash") -> DataFrame:
-    """The first row of each hash, and all rows without one. The aggregate is combined before its shuffle, so a hot hash isn't one task's rows."""
-    key = F.coalesce(F.col(hash_column), F.lit(""))
-    first = df.groupBy(key.alias("__hash")).agg(F.min(F.struct(*order)).alias("__first"))
-    keyed = df.withColumn("__key", key).join(first, F.col("__key") == F.col("__hash"))
-    return keyed.where(F.col(hash_column).isNull() | (F.struct(*order) == F.col("__first"))).drop("__hash", "__first", "__key")
+    """The first row of each hash (rows equal to it in order as well), and all rows without one."""
+    return _placed(df, order, hash_column).where(F.col(hash_column).isNull() | F.col("__first")).drop("__first")
 
 
 def index(df: DataFrame, order: list[str], text: str = "text", seen: Column | None = None) -> DataFrame:

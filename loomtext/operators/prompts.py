@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtext.functions.text import code_blocks, hash_chunk, normalize_prompt, prompt_type, token_estimate
+from loomtext.operators import dedup
 from loomtext.operators.chunk import chunks
+from loomtext.plans.scratch import materialize, partitions_for
 
 OPTIMIZED = ("ollama", "openai", "anthropic")
 
@@ -15,19 +17,19 @@ OPTIMIZED = ("ollama", "openai", "anthropic")
 def with_ids(df: DataFrame, order: list[str], prompt_id: str = "id") -> DataFrame:
     """df with prompts' ids where they have none: prompt_0, prompt_1, ... in order.
 
-    Numbers are counted in ranges of the order: rows by range partition, so no one task holds all rows.
+    Rows are dealt by ranges of the order and written once, each with its range and its place there; the
+    ranges' sizes, one number each, are summed and joined back. Both uses read what was written: a second shuffle
+    would sample other ranges.
     """
-    # A fixed number of ranges: the planner doesn't merge them, so both uses below see the same ones.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.partitionBy("__part").orderBy("__at"))
-    placed = parts.withColumn("__place", place)
+    parts = df.repartitionByRange(partitions_for(df), *order).sortWithinPartitions(*order)
+    # A row's number is its partition's, shifted, and its place.
+    parts = materialize(parts.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "prompt-ids")
     sizes = parts.groupBy(F.col("__part").alias("__p")).agg(F.count("*").alias("__rows"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("__p", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__base"))
-    out = placed.join(bases, F.col("__part") == F.col("__p"))
-    number = F.concat(F.lit("prompt_"), (F.col("__base") + F.col("__place") - 1).cast("string"))
-    return out.withColumn(prompt_id, F.coalesce(F.col(prompt_id), number)).drop("__part", "__at", "__place", "__p", "__base")
+    out = parts.join(bases, F.col("__part") == F.col("__p"))
+    number = F.concat(F.lit("prompt_"), (F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("string"))
+    return out.withColumn(prompt_id, F.coalesce(F.col(prompt_id), number)).drop("__part", "__at", "__p", "__base")
 
 
 def process(df: DataFrame, order: list[str], content: str = "content", prompt_id: str = "id", most: int = 2048, overlap: int = 200, seen: DataFrame | None = None) -> DataFrame:
@@ -39,8 +41,7 @@ def process(df: DataFrame, order: list[str], content: str = "content", prompt_id
     normal = df.where(F.length(content) > 0).withColumn("__text", normalize_prompt(F.col(content))).withColumn("type", prompt_type(F.col("__text")))
     cut = normal.select(*kept, F.col(prompt_id).cast("string").alias("prompt_id"), "type", F.explode_outer(chunks(F.col("__text"), most, overlap)).alias("c")).where(F.col("c").isNotNull())
     rows = cut.select(*kept, "prompt_id", "type", F.col("c.id").alias("segment_index"), "c.content", "c.length", hash_chunk(F.col("c.content")).alias("hash"))
-    place = F.row_number().over(Window.partitionBy("hash").orderBy(*order, "segment_index"))
-    rows = rows.withColumn("duplicate", place > 1)
+    rows = dedup.flag(rows, [*order, "segment_index"])
     if seen is not None:
         old = seen.select(F.col("hash").alias("__seen")).distinct()
         rows = rows.join(old, F.col("hash") == F.col("__seen"), "left").withColumn("duplicate", F.col("duplicate") | F.col("__seen").isNotNull()).drop("__seen")

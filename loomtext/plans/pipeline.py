@@ -30,9 +30,18 @@ def process_texts(docs: DataFrame, key: str, granularity: str = "sentence", clas
     return out.select(*kept)
 
 
+def _settle(spark: SparkSession, cache: str) -> None:
+    """Put a complete next index in the place of one that is gone: also what a run that broke off between the two steps left."""
+    fs, at = files._fs(spark, cache)
+    if not fs.exists(at) and fs.exists(files._fs(spark, f"{cache}.next/_SUCCESS")[1]):
+        fs.rename(files._fs(spark, f"{cache}.next")[1], at)
+
+
 def process_file(spark: SparkSession, source: str, target: str, granularity: str = "sentence", classify: bool = True, remove: bool = True, cache: str | None = None, statistics: str | None = None) -> DataFrame:
     """Read files, write their segments as JSON lines, keep the index for later runs; the written segments."""
     files.check_readable(spark, source)
+    if cache:
+        _settle(spark, cache)
     docs = files.read_texts(spark, source)
     known = None
     if cache and files._fs(spark, cache)[0].exists(files._fs(spark, cache)[1]):
@@ -47,7 +56,7 @@ def process_file(spark: SparkSession, source: str, target: str, granularity: str
         dedup.save_index(merged, f"{cache}.next")
         fs, at = files._fs(spark, cache)
         fs.delete(at, True)
-        fs.rename(files._fs(spark, f"{cache}.next")[1], at)
+        _settle(spark, cache)
     if statistics:
         files.write_statistics(stats.input_statistics(docs).withColumn("segments_written", F.lit(written.count())), statistics, "txt" if statistics.endswith(".txt") else "json")
     return written
