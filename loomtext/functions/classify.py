@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import rx
+from loomtext.functions.validate import check_threshold
 
 #: Words that programs use.
 KEYWORDS = (
@@ -115,6 +116,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
 
 def classify(df: DataFrame, text: str = "text", threshold: float = 0.6) -> DataFrame:
     """df with content_type and confidence (and the features); a blank text is unknown with confidence 0."""
+    check_threshold(threshold, "the least confidence")
     out = with_features(df, text)
     code, prose, structured = F.col("code_score"), F.col("prose_score"), F.col("structured_score")
     kinds = [

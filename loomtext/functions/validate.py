@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtext.errors import ValidationError
 from loomtext.functions import rx
 from loomtext.functions.text import jaccard
 
@@ -83,11 +84,73 @@ def schema_errors(json: Column) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def check_threshold(value: float, name: str = "threshold") -> float:
+    """The value, if it is from 0 to 1."""
+    if not isinstance(value, (int, float)) or isinstance(value, bool) or not 0 <= value <= 1:
+        raise ValidationError(f"{name} must be from 0 to 1: {value!r}")
+    return float(value)
+
+
+def text_content(text: Column, least: int = 1, most: int | None = None) -> Column:
+    """Whether a text is there and its length is from `least` to `most`."""
+    fits = F.length(text) >= least
+    return F.coalesce(fits if most is None else fits & (F.length(text) <= most), F.lit(False))
+
+
 def corrected_total(prompt: Column, completion: Column, total: Column) -> Column:
     """The total that the parts give, unless the total is 0."""
     return F.when(total == 0, total).otherwise(prompt + completion)
 
 
+def coerced_usage(usage: Column) -> Column:
+    """Counts of usage, with the total that the parts give unless it is 0; a missing count is 0."""
+    at = lambda x: F.coalesce(usage[x].cast("bigint"), F.lit(0).cast("bigint"))
+    prompt, completion, total = (at(x) for x in USAGE_FIELDS)
+    return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), corrected_total(prompt, completion, total).alias("total_tokens"))
+
+
+def coerced_segment(segment: Column) -> Column:
+    """A prompt's segment with the length that its content has."""
+    return segment.withField("length", F.length(F.coalesce(segment["content"], F.lit(""))))
+
+
+INPUT_RECORD = "content string, type string, token_estimate bigint, direction string, timestamp string, segments array<struct<id:string,content:string,type:string,length:int,token_estimate:bigint>>"
+OUTPUT_RECORD = "content string, provider string, model string, usage struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>, finish_reason string, timestamp string"
+
+
+def _errors(*rules: tuple[str, Column, str]) -> Column:
+    found = F.array(*(F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(name).alias("field"), F.lit(error).alias("error"))) for name, test, error in rules))
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def input_errors(json: Column) -> Column:
+    """Violations of the prompt schema: array of (field, error)."""
+    read = F.from_json(json, INPUT_RECORD)
+    tokens = F.get_json_object(json, "$.token_estimate")
+    return _errors(
+        ("record", F.json_object_keys(json).isNull(), "not an object"),
+        ("content", F.get_json_object(json, "$.content").isNull(), "missing"), ("content", read["content"] == "", "empty"),
+        ("type", ~F.coalesce(read["type"].isin(*PROMPT_TYPES), F.lit(False)), "not a known type"),
+        ("token_estimate", F.coalesce(tokens.try_cast("bigint"), F.lit(-1)) < 0, "not a count"),
+        ("timestamp", read["timestamp"].isNotNull() & ~is_timestamp(read["timestamp"]), "not ISO-8601"),
+        ("segments", F.get_json_object(json, "$.segments").isNotNull() & (F.size(F.coalesce(read["segments"], F.array())) == 0), "empty"),
+        ("segments", F.exists(F.coalesce(read["segments"], F.array()), lambda s: F.coalesce(s["content"], F.lit("")) == ""), "a segment without content"),
+    )
+
+
+def safe_validate(json: Column, kind: str) -> Column:
+    """valid, the record coerced (lengths, totals), errors: of an `input` or `output` record; a record with errors is null."""
+    if kind == "input":
+        errors, read = input_errors(json), F.from_json(json, INPUT_RECORD)
+        record = read.withField("segments", F.transform(read["segments"], coerced_segment))
+    elif kind == "output":
+        errors, read = schema_errors(json), F.from_json(json, OUTPUT_RECORD)
+        record = read.withField("usage", F.when(read["usage"].isNotNull(), coerced_usage(read["usage"])))
+    else:
+        raise ValidationError(f"records are input or output: {kind}")
+    return F.struct((F.size(errors) == 0).alias("valid"), F.when(F.size(errors) == 0, record).alias("record"), errors.alias("errors"))
+
+
 def terms(text: Column) -> Column:
     return F.array_distinct(rx.all_of(F.lower(text), r"\b[a-zA-Z0-9]{4,}\b"))
 

@@ -130,6 +130,49 @@ def parse(df: DataFrame, text: str = "text", level: str = "high", strict: bool =
     return out.withColumn("statistics", statistics(F.col("blocks")))
 
 
+def kind_counts(blocks: Column) -> Column:
+    """A count for each of KINDS."""
+    return F.struct(*(F.size(of_kind(blocks, k)).alias(k) for k in KINDS))
+
+
+#: A document of blocks as JSON: version, fidelity, metadata, blocks, statistics.
+VERSION = "1.0"
+
+
+def to_document(blocks: Column, level: str = "high", metadata: Column | None = None) -> Column:
+    """The JSON of a document of blocks, filtered by the level. metadata: a map of strings."""
+    kept = fidelity_filter(blocks, level)
+    given = metadata if metadata is not None else F.expr("cast(map() as map<string,string>)")
+    return F.to_json(F.struct(F.lit(VERSION).alias("version"), F.lit(level).alias("fidelity"), given.alias("metadata"), kept.alias("blocks"), F.struct(F.size(kept).alias("total_blocks"), kind_counts(kept).alias("block_types"), statistics(kept)["total_length"].alias("total_length")).alias("statistics")))
+
+
+def from_document(json: Column) -> Column:
+    """version, fidelity, metadata and blocks of a document's JSON; null if it isn't one."""
+    read = F.from_json(json, f"version string, fidelity string, metadata map<string,string>, blocks array<{BLOCK}>")
+    return F.when(read["blocks"].isNotNull(), read)
+
+
+def compress(blocks: Column, most: int) -> Column:
+    """The blocks that fit in `most` characters, the kinds that say most in the fewest first: headings, code, lists, questions, then the others; in their order."""
+    place = F.transform(blocks, lambda b, i: F.struct(F.coalesce(F.array_position(F.array(*(F.lit(x) for x in ("heading", "code_block", "list", "question"))), b["type"]), F.lit(0)).cast("int").alias("rank"), i.alias("at"), b.alias("b")))
+    ranked = F.array_sort(F.transform(place, lambda p: F.struct(F.when(p["rank"] == 0, F.lit(9)).otherwise(p["rank"]).alias("rank"), p["at"].alias("at"), p["b"].alias("b"))))
+    size = lambda b: F.length(F.coalesce(b["content"], F.array_join(b["items"], "\n"), F.lit("")))
+    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<int>)").alias("kept"))
+
+    def step(a: Column, x: Column) -> Column:
+        fits = a["used"] + size(x["b"]) <= most
+        return F.struct(F.when(fits, a["used"] + size(x["b"])).otherwise(a["used"]).alias("used"), F.when(fits, F.concat(a["kept"], F.array(x["at"]))).otherwise(a["kept"]).alias("kept"))
+
+    kept = F.aggregate(ranked, start, step)["kept"]
+    return F.filter(blocks, lambda b, i: F.array_contains(kept, i))
+
+
+def meaning(blocks: Column) -> Column:
+    """What a document's blocks are about: titles, questions, languages of code, items, reasoning."""
+    texts = lambda *kinds: F.transform(of_kind(blocks, *kinds), lambda b: b["content"])
+    return F.struct(texts("heading").alias("titles"), texts("question").alias("questions"), F.array_distinct(F.transform(of_kind(blocks, "code_block"), lambda b: b["language"])).alias("languages"), F.flatten(F.transform(of_kind(blocks, "list"), lambda b: b["items"])).alias("items"), texts("thinking").alias("reasoning"))
+
+
 def formatting(block: Column) -> Column:
     return inline_formatting(F.coalesce(block["content"], F.lit("")))
 

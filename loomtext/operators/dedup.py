@@ -110,6 +110,19 @@ def statistics(flagged: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("dedup_ratio", F.coalesce(F.try_divide("duplicates_found", "total_processed"), F.lit(0.0)))
 
 
+def index_statistics(flagged: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """`statistics` with cache_hits (rows whose hash was in the index before) and unique_hashes (hashes of the rows and the index)."""
+    old = seen.select(F.col("hash").alias("__seen")).distinct() if seen is not None else None
+    rows = flagged.groupBy("hash").agg(F.count("hash").alias("n"), F.count_if("duplicate").alias("dup")).where("n > 0")
+    joined = rows.join(old, F.col("hash") == F.col("__seen"), "full") if old is not None else rows.withColumn("__seen", F.lit(None).cast("string"))
+    known = F.col("__seen").isNotNull()
+    # Of a hash that the index knows, all rows are duplicates; else all but the first.
+    dup = F.when(known, F.coalesce("n", F.lit(0))).otherwise(F.col("dup"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    out = joined.agg(total("n").alias("total_processed"), (total("n") - total(dup)).alias("unique_content"), total(dup).alias("duplicates_found"), total(F.when(known, F.coalesce("n", F.lit(0)))).alias("cache_hits"), F.count("*").alias("unique_hashes"))
+    return out.withColumn("dedup_ratio", F.coalesce(F.try_divide("duplicates_found", "total_processed"), F.lit(0.0)))
+
+
 def summary(df: DataFrame, order: list[str], *by: str, hash_column: str = "hash") -> DataFrame:
     """What `statistics` gives for flagged rows, without flagging them.
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from loomtext.functions import text as T
 from loomtext.functions.classify import strict_json
 from loomtext.functions.providers import PROVIDERS, parse
+from loomtext.functions.validate import check_threshold
 
 
 def clean(text: Column, model: Column | None = None, thinking: bool = True, artifacts: bool = True, quirks: bool = True, fences: bool = True) -> Column:
@@ -75,5 +76,22 @@ def compare(df: DataFrame, group: str, order: str, threshold: float = 0.8) -> Da
     return out.join(alike, group, "left").withColumn("average_similarity", F.coalesce("average_similarity", F.lit(0.0)))
 
 
+def normalize_ollama(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Payloads of Ollama in the unified schema, with what else they say of the run in `ollama_metadata`."""
+    out = normalize_payloads(df.withColumn("__provider", F.lit("ollama")), raw, "__provider").drop("__provider")
+    at = lambda x, kind: F.get_json_object(raw, f"$.{x}").try_cast(kind).alias(x)
+    times = ("total_duration", "load_duration", "prompt_eval_count", "prompt_eval_duration", "eval_count", "eval_duration")
+    return out.withColumn("ollama_metadata", F.struct(at("model", "string"), at("created_at", "string"), at("done", "boolean"), *(at(x, "bigint") for x in times), F.from_json(F.get_json_object(raw, "$.context"), "array<bigint>").alias("context")))
+
+
+def compare_all(df: DataFrame, order: str, threshold: float = 0.8) -> DataFrame:
+    """One summary row of all rows, or a row whose `error` says that there are none."""
+    check_threshold(threshold)
+    whole = compare(df.withColumn("__all", F.lit(1)), "__all", order, threshold).drop("__all").withColumn("error", F.lit(None).cast("string"))
+    some = df.limit(1).agg((F.count("*") == 0).alias("none"))
+    lone = some.where("none").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in whole.schema if f.name != "error"), F.lit("no responses to compare").alias("error"))
+    return whole.unionByName(lone)
+
+
 def is_provider(name: Column) -> Column:
     return F.coalesce(name.isin(*PROVIDERS), F.lit(False))

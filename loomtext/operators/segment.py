@@ -106,20 +106,22 @@ def _sentences(text: str, offset: int, least: int) -> list[dict]:
     return out
 
 
+def segments_of(text: str, least: int = 3) -> list[dict]:
+    """Sentences of a text and the regions of code between them."""
+    out, at = [], 0
+    for low, high, kind in _regions(text):
+        out += _sentences(text[at:low], at, least) if at < low else []
+        out.append({"text": text[low:high], "type": "code_block", "start_pos": low, "end_pos": high, "code_type": kind})
+        at = high
+    return out + (_sentences(text[at:], at, least) if at < len(text) else [])
+
+
 def sentences_around_code(least: int = 3):  # noqa: ANN201
     """An Arrow function: segments of texts with code; null stays null."""
 
-    def run(text: str) -> list[dict]:
-        out, at = [], 0
-        for low, high, kind in _regions(text):
-            out += _sentences(text[at:low], at, least) if at < low else []
-            out.append({"text": text[low:high], "type": "code_block", "start_pos": low, "end_pos": high, "code_type": kind})
-            at = high
-        return out + (_sentences(text[at:], at, least) if at < len(text) else [])
-
     @F.pandas_udf(SEGMENT)
     def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else run(x))
+        return texts.map(lambda x: None if x is None else segments_of(x, least))
 
     return apply.asNondeterministic()  # so that the planner keeps one call where several expressions use the segments
 

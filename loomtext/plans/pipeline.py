@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.errors import ValidationError
 from loomtext.functions import classify as C
 from loomtext.functions import jsonx
+from loomtext.functions import text as T
+from loomtext.functions import validate as V
 from loomtext.operators import dedup, prompts, responses, segment, stats
 from loomtext.sources import files
 
@@ -16,6 +19,7 @@ def process_texts(docs: DataFrame, key: str, granularity: str = "sentence", clas
 
     Duplicates go before anything is classified, so the costly features see survivors only.
     """
+    V.check_threshold(threshold, "the least confidence")
     found = segment.segment(docs.select(key, "text"), granularity)
     if remove:
         found = dedup.hashed(found)
@@ -78,6 +82,30 @@ def normalize_outputs(df: DataFrame, raw: str = "raw", provider: str | None = No
     return responses.normalize_payloads(df, raw, provider).withColumn("direction", F.lit("output"))
 
 
+def normalize_full(df: DataFrame, raw: str = "raw", kind: str = "output", provider: str | None = None, strict: bool = False) -> DataFrame:
+    """df with its records normalised and checked: `record` (JSON), `valid`, `errors`; one evaluation, as the work is deterministic.
+
+    kind output: payloads of any provider, other JSON or text in one schema; input: prompts with type and tokens. A record
+    with errors fails the job if strict, else it is kept as it came, with the errors.
+    """
+    raw_text = F.coalesce(F.col(raw), F.lit(""))
+    if kind == "output":
+        done = responses.normalize_payloads(df.withColumn("__raw", raw_text), "__raw", provider)
+        found = F.col("response")
+        usage = V.coerced_usage(found)
+        record = F.struct(F.col("content").alias("content"), found["provider"].alias("provider"), found["model"].alias("model"), usage.alias("usage"), found["finish_reason"].alias("finish_reason"), F.lit("output").alias("direction"))
+        done = done.withColumn("__record", F.to_json(record)).withColumn("__checked", V.safe_validate(F.col("__record"), "output")).drop("content", "content_metadata", "hash", "response", "__raw")
+    elif kind == "input":
+        done = df.withColumn("__text", T.normalize_prompt(raw_text))
+        record = F.struct(F.col("__text").alias("content"), T.prompt_type(F.col("__text")).alias("type"), T.token_estimate(F.col("__text")).cast("bigint").alias("token_estimate"), F.lit("input").alias("direction"))
+        done = done.withColumn("__record", F.to_json(record)).withColumn("__checked", V.safe_validate(F.col("__record"), "input")).drop("__text")
+    else:
+        raise ValidationError(f"records are input or output: {kind}")
+    valid = F.col("__checked.valid")
+    kept = F.raise_error(F.concat(F.lit("not a valid record: "), F.substring(raw_text, 1, 100))) if strict else F.to_json(F.struct(F.col(raw).alias("_raw"), F.lit("kept as it came").alias("_note")))
+    return done.select(*df.columns, F.when(valid, F.col("__record")).otherwise(kept).alias("record"), valid.alias("valid"), F.col("__checked.errors").alias("errors"))
+
+
 def normalize_any(df: DataFrame, raw: str = "raw", retries: int = 3, strict: bool = False) -> DataFrame:
     """df with the repaired canonical JSON of `raw` and its direction."""
     return df.withColumn("json", jsonx.normalize_json(F.col(raw), retries, strict)).withColumn("direction", jsonx.direction(F.col("json")))

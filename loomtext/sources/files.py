@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
+import uuid
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.errors import ParsingError, ValidationError
 from loomtext.functions import rx
 
-#: Folders that a crawl leaves out.
-IGNORED = ("node_modules", ".git", "__pycache__", "venv", ".venv", "dist", "build")
-
-
-class ValidationError(ValueError):
-    """An argument or input that can't be used."""
+#: Parts of a path at which a crawl leaves a file out.
+IGNORED = ("node_modules", "__pycache__", ".git", "venv", "env", ".pytest_cache", "dist", "build", ".egg-info")
+#: Bytes of a file that are looked at for its encoding.
+HEAD = 1024
 
 
 def _fs(spark: SparkSession, path: str):  # noqa: ANN202
@@ -33,6 +38,48 @@ def check_readable(spark: SparkSession, path: str, most_mb: float | None = None)
     return path
 
 
+def check_writable(spark: SparkSession, path: str) -> str:
+    """The path, if a file can be written in its folder, which is made where it isn't there."""
+    fs, at = _fs(spark, path)
+    folder = at.getParent() or at
+    probe = spark._jvm.org.apache.hadoop.fs.Path(folder, f".{uuid.uuid4().hex}")
+    try:
+        fs.mkdirs(folder)
+        fs.create(probe).close()
+        fs.delete(probe, False)
+    except Py4JJavaError as e:
+        raise ValidationError(f"can't be written: {path}") from e
+    return path
+
+
+def check_encoding(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
+    """The path, if the first HEAD bytes of its files are in the encoding; a character that the head cuts off doesn't count."""
+    heads = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.substring("content", 1, HEAD).alias("head"), "length")
+
+    def bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wrong = []
+            for name, head, length in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                try:
+                    codecs.getincrementaldecoder(encoding)().decode(head, length <= HEAD)
+                except UnicodeDecodeError:
+                    wrong.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(wrong, pa.string())], ["path"])
+
+    if found := heads.mapInArrow(bad, "path string").orderBy("path").limit(3).collect():
+        raise ParsingError(f"not in {encoding}: {', '.join(r.path for r in found)}")
+    return path
+
+
+def read_chunks(spark: SparkSession, path: str, size: int = 8192) -> DataFrame:
+    """file, chunk, text: the files' texts in parts of `size` characters; the last may be shorter, an empty file has none."""
+    if size < 1:
+        raise ValidationError(f"chunks have a positive size: {size}")
+    parts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / F.lit(size)).cast("int"))
+    cut = read_texts(spark, path).where(F.length("text") > 0).select("file", "text", F.explode(parts).alias("chunk"))
+    return cut.select("file", "chunk", F.substr("text", F.col("chunk") * size + 1, F.lit(size)).alias("text"))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """file, text: one row per file; a folder is read with its subfolders."""
     return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
@@ -69,13 +116,18 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def write_segments(segments: DataFrame, path: str, kind: str = "jsonl", source: str = "") -> None:
-    """Segments as JSON lines, or as lines with a header file of metadata (kind json): path/segments and path/metadata."""
+def write_segments(segments: DataFrame, path: str, kind: str = "jsonl", source: str = "", statistics: DataFrame | None = None) -> None:
+    """Segments as JSON lines, or as lines with a header file of metadata (kind json): path/segments and path/metadata.
+
+    statistics: one row, which the header holds. The two are files of their own, as all segments in one JSON value would be one task's.
+    """
     if kind == "jsonl":
         write_jsonl(segments, path)
     elif kind == "json":
         write_jsonl(segments, f"{path}/segments")
         header = segments.agg(F.count("*").alias("total_segments")).select(F.lit(source).alias("input_file"), F.current_timestamp().alias("processed_at"), "total_segments")
+        if statistics is not None:
+            header = header.join(F.broadcast(statistics.limit(1).select(F.struct("*").alias("statistics"))), F.lit(True))
         write_jsonl(header, f"{path}/metadata")
     else:
         raise ValidationError(f"segments are json or jsonl: {kind}")
@@ -97,9 +149,11 @@ def write_statistics(stats: DataFrame, path: str, kind: str = "json") -> None:
 
 
 def crawl(spark: SparkSession, path: str, extensions: tuple[str, ...], ignored: tuple[str, ...] = IGNORED) -> DataFrame:
-    """file, text of a tree's files with these extensions, without those under ignored folders."""
+    """file, text of a tree's files with these extensions, without those whose path below the tree holds an ignored part."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(x.lstrip(".") for x in extensions) + "}").text(path, wholetext=True)
     found = files.select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    root = _fs(spark, path)[1].toUri().getPath().rstrip("/")
+    below = F.regexp_replace("file", f"^[a-zA-Z0-9+.-]*:?/*{re.escape(root).lstrip('/')}", "") if root else F.col("file")
     for name in ignored:
-        found = found.where(~F.contains("file", F.lit(f"/{name}/")))
+        found = found.where(~F.contains(below, F.lit(name)))
     return found

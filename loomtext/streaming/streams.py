@@ -58,6 +58,24 @@ def buffered(chunks: DataFrame) -> DataFrame:
     return units.withColumn("content", clean(F.col("raw"))).drop("raw")
 
 
+def ollama_chunks(payloads: DataFrame, raw: str = "raw", stream_id: str = "stream_id", seq: str = "seq") -> DataFrame:
+    """Chunk payloads of Ollama (one JSON object each) as chunks for `buffered`; a payload without a response is an empty chunk."""
+    at = lambda x: F.get_json_object(raw, f"$.{x}")
+    text = F.coalesce(at("response"), at("message.content"), F.lit(""))
+    return payloads.select(F.col(stream_id).cast("string").alias("stream_id"), F.col(seq).alias("seq"), text.alias("chunk"), F.coalesce(at("done").try_cast("boolean"), F.lit(False)).alias("done"))
+
+
+def ollama_units(units: DataFrame, model: str | None = None) -> DataFrame:
+    """Units of such streams as responses: stream_id, unit, content, model (none on the row that ends a stream), done, provider."""
+    return units.select("stream_id", "unit", "content", F.when(~F.col("done"), F.lit(model)).alias("model"), "done", F.lit("ollama").alias("provider"))
+
+
+def counted(segments: DataFrame, name: str = "loomtext") -> DataFrame:
+    """segments with counts that Progress reads: rows, duplicates (where they are flagged) and bytes of text."""
+    skipped = F.count_if("duplicate") if "duplicate" in segments.columns else F.lit(0).cast("bigint")
+    return segments.observe(name, F.count(F.lit(1)).alias("segments_processed"), skipped.alias("duplicates_skipped"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes_processed"))
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Everything that is there now through the stream, and its output as a table."""
     spark = stream.sparkSession
@@ -78,9 +96,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def buffered_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Turns of conversations as chunks of a stream per conversation."""
-    turns = read_table(spark, path)
-    chunks = turns.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("chunk"), F.lit(False).alias("done"))
+    """Turns of conversations as chunks of a stream per conversation; the last turn is its end, which flushes what is left."""
+    ends = spark.read.parquet(path).groupBy(F.col("conv_id").alias("__conv")).agg(F.max("turn").alias("__last"))
+    turns = read_table(spark, path).join(ends, F.col("conv_id") == F.col("__conv"))
+    chunks = turns.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("chunk"), (F.col("turn") == F.col("__last")).alias("done"))
     return run_available(buffered(chunks), "stream-buffer")
 
 
@@ -122,14 +141,17 @@ class Progress(StreamingQueryListener):
 
     def __init__(self, call: Callable[[dict], None] | None = None):
         self.call = call
-        self.counts = {"batches": 0, "rows_read": 0, "rows_written": 0}
+        self.counts = {"batches": 0, "rows_read": 0, "rows_written": 0, "segments_processed": 0, "duplicates_skipped": 0, "bytes_processed": 0}
 
     def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
         p = event.progress
-        self.counts = {"batches": self.counts["batches"] + 1, "rows_read": self.counts["rows_read"] + p.numInputRows, "rows_written": self.counts["rows_written"] + max(0, p.sink.numOutputRows)}
+        more = {"batches": 1, "rows_read": p.numInputRows, "rows_written": max(0, p.sink.numOutputRows)}
+        for row in (p.observedMetrics or {}).values():
+            more |= {k: v for k, v in row.asDict().items() if k in self.counts}
+        self.counts = {k: v + more.get(k, 0) for k, v in self.counts.items()}
         if self.call:
             self.call(dict(self.counts))
 
