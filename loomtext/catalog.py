@@ -11,7 +11,7 @@ from loomtext.functions import classify as C
 from loomtext.functions import jsonx, providers, rx, validate
 from loomtext.functions import text as T
 from loomtext.operators import blocks, chunk, dedup, prompts, responses, segment, stats
-from loomtext.plans import inputs, sql
+from loomtext.plans import inputs, pipeline, sql
 from loomtext.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,7 +94,7 @@ def doc_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id from documents where length(text) between 100 and 2000")
 def text_content_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where(F.length("text").between(100, 2000)).select("doc_id")
+    return _docs(spark, sf_dir).where(validate.text_content(F.col("text"), 100, 2000)).select("doc_id")
 
 
 # Dedup
@@ -161,6 +161,18 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.statistics(dedup.flag(_hashed(spark, sf_dir), ["doc_id"]))
 
 
+_KNOWN = f"select distinct sha256({sql.dedup_normal('text')}) as hash from benchmark where length(text) >= 10"
+
+
+@query(f"""with h as (select hash, row_number() over (partition by hash order by doc_id) > 1 as dup from ({_HASHED})), k as ({_KNOWN}), f as (select h.*, hash in (select hash from k) as hit from h),
+ s as (select count(*) as total_processed, count(*) filter (dup or hit) as duplicates_found, count(*) filter (hit) as cache_hits from f)
+ select total_processed, total_processed - duplicates_found as unique_content, duplicates_found, cache_hits, (select count(*) from (select hash from h union select hash from k)) as unique_hashes, duplicates_found / total_processed::double as dedup_ratio from s""")
+def dedup_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a run that knows the benchmark's texts."""
+    known = dedup.hashed(inputs.table(spark, sf_dir, "benchmark")).where("hash is not null")
+    return dedup.index_statistics(dedup.flag(_hashed(spark, sf_dir), ["doc_id"]), known)
+
+
 @query(f"with h as ({_HASHED}), i as (select hash, count(*) as occurrences from h group by hash) select doc_id, occurrences from h join i using (hash)")
 def dedup_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _hashed(spark, sf_dir).where("hash is not null")
@@ -412,7 +424,7 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("event_id", F.array_sort(F.json_object_keys("fixed")).alias("keys"), F.col("fixed").isNotNull().alias("repaired"))
 
 
-@query()
+@query("""select event_id, '{' || array_to_string(list_transform(list_sort(json_keys(props)), lambda k: '"' || k || '":' || (props -> k)::varchar), ',') || '}' as json from events""")
 def json_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "events").select("event_id", jsonx.canonical(F.col("props")).alias("json"))
 
@@ -422,6 +434,33 @@ def json_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.payloads(spark, sf_dir).select("conv_id", "turn", jsonx.direction(F.col("raw")).alias("direction"))
 
 
+@query(r"select event_id, list_sort(json_keys(props)) as keys, true as repaired from events")
+def json_repair_bare_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects whose keys have lost their quotes."""
+    raw = F.regexp_replace("props", r'"(\w+)"\s*:', "$1:")
+    fixed = inputs.table(spark, sf_dir, "events").select("event_id", jsonx.repair(raw).alias("fixed"))
+    return fixed.select("event_id", F.array_sort(F.json_object_keys("fixed")).alias("keys"), F.col("fixed").isNotNull().alias("repaired"))
+
+
+# Full mode
+
+
+@query(f"""select conv_id, turn, true as valid, {_KIND} as provider, text as content, case when {_KIND} = 'generic' then 0 else conv_id + turn end as total_tokens,
+ case when {_KIND} = 'generic' then 0 else conv_id end as prompt_tokens, 0::bigint as errors from (select conv_id, turn, {sql.response_clean('text')} as text from conversations)""")
+def full_mode_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pipeline.normalize_full(inputs.payloads(spark, sf_dir))
+    at = lambda x: F.get_json_object("record", f"$.{x}")
+    return found.select("conv_id", "turn", "valid", at("provider").alias("provider"), at("content").alias("content"), at("usage.total_tokens").cast("bigint").alias("total_tokens"), at("usage.prompt_tokens").cast("bigint").alias("prompt_tokens"), F.size("errors").cast("bigint").alias("errors"))
+
+
+@query(f"""with d as ({inputs.DECORATED}), n as (select doc_id, {sql.prompt_normal('text')} as content from d)
+ select doc_id, content <> '' as valid, case when content <> '' then sha256(content) end as hash, case when content <> '' then {sql.prompt_type('content')} end as type, case when content <> '' then length(content) // 4 end as token_estimate, case when content = '' then 1 else 0 end::bigint as errors from n""")
+def full_mode_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pipeline.normalize_full(inputs.decorated(spark, sf_dir).select("doc_id", F.col("text").alias("raw")), kind="input")
+    at = lambda x: F.get_json_object("record", f"$.{x}")
+    return found.select("doc_id", "valid", F.sha2(at("content"), 256).alias("hash"), at("type").alias("type"), at("token_estimate").cast("bigint").alias("token_estimate"), F.size("errors").cast("bigint").alias("errors"))
+
+
 # Blocks
 
 
@@ -439,6 +478,24 @@ def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("doc_id", *(F.col(f"statistics.{x}").cast("bigint").alias(x) for x in ("heading", "code_block", "thinking", "list")))
 
 
+_NEVER = ("answer", "quote", "table", "link", "image", "instruction", "context", "example", "metadata", "system", "user")
+
+
+@query(f"with d as ({inputs.DECORATED}) select doc_id, (doc_id % 8 = 0)::bigint * 2 as heading, (doc_id % 8 = 1)::bigint as code_block, (doc_id % 8 = 2)::bigint as thinking, {', '.join(f'0::bigint as {x}' for x in _NEVER)} from d")
+def block_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every kind whose lines SQL can tell apart; paragraphs, lists and questions are tested by brute force."""
+    found = _blocks(spark, sf_dir).select("doc_id", blocks.kind_counts(F.col("blocks")).alias("k"))
+    return found.select("doc_id", *(F.col(f"k.{x}").cast("bigint").alias(x) for x in ("heading", "code_block", "thinking", *_NEVER)))
+
+
+@query()
+def block_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of blocks to JSON and back, and what a low fidelity leaves of them."""
+    found = _blocks(spark, sf_dir, "maximum").select("doc_id", "blocks", blocks.to_document(F.col("blocks"), "low").alias("json"))
+    read = found.withColumn("d", blocks.from_document(F.col("json")))
+    return read.select("doc_id", F.col("d.version").alias("version"), F.col("d.fidelity").alias("fidelity"), F.size("d.blocks").cast("bigint").alias("blocks"), (F.col("d.blocks") == blocks.fidelity_filter(F.col("blocks"), "low")).alias("same"))
+
+
 @query("select doc_id, doc_id % 8 = 2 as dropped from documents")
 def block_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inputs.decorated(spark, sf_dir).withColumn("b", blocks.parser()(F.col("text")))
@@ -499,6 +556,20 @@ def schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.size(validate.schema_errors(F.col("json"))).cast("bigint").alias("errors"))
 
 
+@query("""select conv_id, turn, list_sort(list_filter([case when conv_id % 5 = 0 then 'content: missing' end, case when turn % 2 = 1 then 'provider: not a known provider' end, case when conv_id % 3 = 0 then 'model: empty' end,
+ case when conv_id % 7 = 0 then 'usage.prompt_tokens: negative' end, case when turn % 4 = 2 then 'timestamp: not ISO-8601' end], lambda x: x is not null)) as errors from conversations""")
+def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that break the schema in five ways, alone and together."""
+    c, t = F.col("conv_id"), F.col("turn")
+    usage = F.struct(F.when(c % 7 == 0, F.lit(-1)).otherwise(F.lit(1)).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), F.lit(2).alias("total_tokens"))
+    record = F.to_json(F.struct(
+        F.when(c % 5 != 0, F.col("text")).alias("content"), F.when(t % 2 == 1, F.lit("nobody")).otherwise(F.lit("openai")).alias("provider"), F.when(c % 3 == 0, F.lit("")).otherwise(F.lit("m")).alias("model"),
+        usage.alias("usage"), F.when(t % 4 == 2, F.lit("some day")).otherwise(F.lit("2024-01-02T03:04:05")).alias("timestamp"),
+    ))
+    found = _conversations(spark, sf_dir).select("conv_id", "turn", validate.schema_errors(record).alias("e"))
+    return found.select("conv_id", "turn", F.array_sort(F.transform("e", lambda x: F.concat_ws(": ", x["field"], x["error"]))).alias("errors"))
+
+
 # Statistics
 
 
