@@ -217,8 +217,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 def _applied(docs: DataFrame) -> DataFrame:
     """`row` (docs' columns), `text`, `dropped` (empty where nothing is) and `kept`, the text that stays."""
-    keyed = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"), *_key(), F.col("text").alias("text"))
-    joined = keyed.join(dropped_lines(docs), ["doc", "own"], "left")
+    # The text is in the row only, so that it is shuffled once.
+    keyed = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"), *_key())
+    joined = keyed.join(dropped_lines(docs), ["doc", "own"], "left").withColumn("text", F.col("row.text"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("dropped", i)), "\n")
     return joined.select("row", "text", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("kept"))
 
