@@ -640,4 +640,4 @@ def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select min(event_id) as event_id, user_id, event_type from events group by user_id, event_type")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.dedup_batch(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"]).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return streams.dedup_batch(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"], order=["event_id"]).select("user_id", "event_type", "event_id")

@@ -103,10 +103,48 @@ def buffered_batch(spark: SparkSession, path: str) -> DataFrame:
     return run_available(buffered(chunks), "stream-buffer")
 
 
-def dedup_batch(spark: SparkSession, path: str, keys: list[str], time: str = "ts", delay: str = "365 days") -> DataFrame:
-    """First rows of each key, through a stream whose state is bounded by a watermark."""
+def firsts(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by `order`, nulls last; combined before its shuffle. Of rows that are equal in `order`, any one is the first."""
+    by = F.struct(*(F.struct(F.col(x).isNull(), F.col(x)) for x in order))
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), by).alias("__first")).select("__first.*")
+
+
+def _folders(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
+    """The folders that batches (those of smaller numbers, if one is given) have written."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
+    return [x.toString() for x in found if before is None or int(x.getName()) < before]
+
+
+def first_batches(stream: DataFrame, path: str, keys: list[str], order: list[str], time: str, delay: str, checkpoint: str):  # noqa: ANN201
+    """Each micro-batch adds the first row of each key to a folder of its number, which a replay overwrites.
+
+    Left out is a row that doesn't come before what earlier batches wrote for its key. Only rows written with a time of
+    at most `delay` before the batch's newest are looked at, so state is bounded; a key that is older, or a row
+    that comes late, is written again. So `firsts` of all folders are those of the stream, whatever came when.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark, new = batch.sparkSession, firsts(batch, keys, order)
+        if old := _folders(spark, path, number):
+            oldest = batch.agg(F.max(time) - F.lit(delay).cast("interval")).scalar()
+            held = spark.read.schema(batch.schema).parquet(*old).where(F.col(time) >= oldest)
+            both = held.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)))
+            new = firsts(both, keys, [*order, "__new"]).where("__new").drop("__new")
+        new.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def dedup_batch(spark: SparkSession, path: str, keys: list[str], time: str = "ts", delay: str = "365 days", order: list[str] | None = None) -> DataFrame:
+    """First rows of each key by `order` (time, then the other columns, if none is given), through a stream of bounded state."""
     rows = read_table(spark, path).withColumn(time, F.col(time).cast("timestamp"))
-    return run_available(rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys), "stream-dedup")
+    order = order or [time, *(x for x in rows.columns if x != time)]
+    out = folder(spark, "stream-dedup")
+    first_batches(rows, out, keys, order, time, delay, folder(spark, "stream-dedup-state")).start().awaitTermination()
+    found = _folders(spark, out)
+    return firsts(spark.read.schema(rows.schema).parquet(*found) if found else spark.createDataFrame([], rows.schema), keys, order)
 
 
 def segments_of_files(spark: SparkSession, path: str, granularity: str = "sentence") -> DataFrame:
@@ -124,9 +162,7 @@ def unseen_batches(stream: DataFrame, index_path: str, write: Callable[[DataFram
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(index_path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        old = [x.getPath().toString() for x in fs.listStatus(fs_path) if int(x.getPath().getName()) < number] if fs.exists(fs_path) else []
+        old = _folders(spark, index_path, number)
         new = dedup.survivors(batch.where("hash is not null"), order)
         if old:
             new = dedup.unseen(new, spark.read.schema(dedup.INDEX).json(old))

@@ -1,9 +1,10 @@
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext import cli
+from loomtext import catalog, cli
 from loomtext.functions.register import register
 from loomtext.plans import pipeline
 from loomtext.sources import files
@@ -121,3 +122,33 @@ def test_dedup_stream_state_is_bounded(spark):
     found = streams.dedup_batch(spark, "/root/testdata/sf0.001/events.parquet", ["user_id", "event_type"])
     assert found.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_type").distinct().count()
     assert found.where(F.col("ts").isNull()).count() == 0
+
+
+def test_dedup_stream_keeps_the_smallest_id(spark, tmp_path):
+    """Whatever the order of arrival; rows without a time, a key or an id count as in SQL."""
+    at, schema = f"{tmp_path}/events.parquet", "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    day = lambda k: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=k)
+    rows = [(k, day(k % 900), k % 7, "ab"[k % 2]) for k in range(3000, 0, -1)]
+    rows += [(None, day(0), 0, "a"), (-1, None, 1, "a"), (-2, day(5), None, "a"), (-3, None, None, None), (None, day(1), 9, "a"), (8, day(2), 9, "a"), (None, day(1), 10, "b")]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(at)
+    spark.createDataFrame(sorted(rows, key=repr, reverse=True), schema).coalesce(1).write.mode("append").parquet(at)
+    expected = {}
+    for k, _, user, kind in rows:
+        ids = [x for x in (k, expected.get((user, kind))) if x is not None]
+        expected[user, kind] = min(ids) if ids else None
+    found = catalog.queries()["stream_dedup"](spark, str(tmp_path)).collect()
+    assert len(found) == len(expected) and {(r.user_id, r.event_type): r.event_id for r in found} == expected
+
+
+def test_dedup_stream_of_several_batches(spark, tmp_path):
+    """A later batch adds what comes before the rows held, and what they are too old for; the firsts are those of all rows."""
+    schema, path = "k string, n long, ts timestamp", str(tmp_path / "in")
+    days = [[("a", 5, 800), ("b", 5, 800), ("c", 5, 1)], [("a", 7, 801), ("b", 3, 1), ("b", 4, 801), ("c", 6, 801)], [("a", 5, 802), ("b", 9, 802), ("d", 1, None)]]
+    for i, rows in enumerate(days):
+        made = spark.createDataFrame([(k, n, None if d is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d)) for k, n, d in rows], schema)
+        made.coalesce(1).write.mode("append").parquet(path)
+        stream = streams.read_table(spark, path)
+        streams.first_batches(stream, str(tmp_path / "out"), ["k"], ["n"], "ts", "365 days", str(tmp_path / "state")).start().awaitTermination()
+    read = lambda *i: spark.read.schema(schema).parquet(*(f"{tmp_path}/out/{x}" for x in i))
+    assert [sorted((r.k, r.n) for r in read(i).collect()) for i in range(3)] == [[("a", 5), ("b", 5), ("c", 5)], [("b", 3), ("c", 6)], [("d", 1)]]
+    assert sorted((r.k, r.n) for r in streams.firsts(read(0, 1, 2), ["k"], ["n"]).collect()) == [("a", 5), ("b", 3), ("c", 5), ("d", 1)]
